@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: letters and digits of any script.
 WORD = re.compile(r"[^\W_]+")
@@ -46,6 +47,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def with_fields(schema: T.StructType, **more: str) -> T.StructType:
+    """A schema with further columns, by name and type."""
+    return T.StructType([*schema.fields, *(T.StructField(k, T.StructType.fromDDL(f"x {v}")["x"].dataType) for k, v in more.items())])
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text modulo 5; a null id counts as the empty text. 0 is held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import op7_mixing
+from . import op4_language, op6_records, op7_mixing, op9_packing
 
 QUERIES = {
+    "op4_language_id": op4_language.query,
+    "op6_binary_records": op6_records.query,
     "op7_mixing": op7_mixing.query,
+    "op9_best_fit_packing": op9_packing.query,
 }
 ORACLES = {
     "op7_mixing": op7_mixing.SQL,
