@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op2_quality, op4_language, op5_media, op6_records, op7_mixing, op9_packing, op10_toxicity
+from . import op2_quality, op4_language, op5_media, op6_records, op7_mixing, op8_knn, op9_packing, op10_toxicity
 
 QUERIES = {
     "op2_quality": op2_quality.query,
@@ -11,9 +11,11 @@ QUERIES = {
     "media_page_items": op5_media.pages_query,
     "op6_binary_records": op6_records.query,
     "op7_mixing": op7_mixing.query,
+    "op8_voronoi_knn": op8_knn.query,
     "op9_best_fit_packing": op9_packing.query,
     "op10_toxicity": op10_toxicity.query,
 }
 ORACLES = {
     "op7_mixing": op7_mixing.SQL,
+    "op8_voronoi_knn": op8_knn.SQL,
 }
