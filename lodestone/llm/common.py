@@ -47,6 +47,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int = 400_000) -> DataFrame:
+    """A table of short rows that has been written out: broadcast if it is small, else left for Spark to shuffle."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def with_fields(schema: T.StructType, **more: str) -> T.StructType:
     """A schema with further columns, by name and type."""
     return T.StructType([*schema.fields, *(T.StructField(k, T.StructType.fromDDL(f"x {v}")["x"].dataType) for k, v in more.items())])

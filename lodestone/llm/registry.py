@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op2_quality, op3_pii, op4_language, op5_media, op6_records, op7_mixing, op8_knn, op9_packing, op10_toxicity
+from . import op1_jaccard, op2_quality, op3_pii, op4_language, op5_media, op6_records, op7_mixing, op8_knn, op9_packing, op10_toxicity
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard.query,
     "op2_quality": op2_quality.query,
     "op3_pii": op3_pii.query,
     "op4_language_id": op4_language.query,
