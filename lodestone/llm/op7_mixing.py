@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACED, materialise
+from .common import SPACED, bounded_broadcast, materialise
 
 SEED = "mix-1"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -70,6 +70,29 @@ def mix(spark: SparkSession, docs: DataFrame, *, text="text", source="source", d
     return placed.select("doc_id", "source", "text_md5", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixture(spark: SparkSession, docs: DataFrame, *, text="text", source="source", doc_id="doc_id", **options) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each whole or partial turn, the last one cut after the words it takes."""
+    key = lambda i, t: F.md5(F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), t).cast("binary"))
+    mixed = mix(spark, docs, text=text, source=source, doc_id=doc_id, **options).where("taken > 0")
+    took = mixed.groupBy(key(F.col("doc_id"), F.col("text_md5")).alias("__dk"), F.col("source").alias("__source")).agg(F.count("*").alias("__rows"), F.max("size").alias("__size"), F.sum("taken").alias("__taken"))
+    took = materialise(spark, took, "taken")
+    d = docs.withColumn("__dk", key(F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+
+    def emit(d: DataFrame, took: DataFrame) -> DataFrame:
+        t = bounded_broadcast(took.withColumnRenamed("__dk", "__key"))
+        d = d.join(t, (F.col("__dk") == F.col("__key")) & F.col(source).eqNullSafe(F.col("__source")))
+        last = F.ceil(F.col("__taken") / F.col("__size")).cast("long") - 1
+        d = d.withColumn("__words", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.least("__size", F.col("__taken") - i * F.col("__size")))))
+        head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{SPACED}"), 0), 1, F.col("__words").cast("int")), "")
+        return d.withColumn(text, F.when(F.col("__words") < F.col("__size"), head).otherwise(F.col(text)))
+
+    out = emit(d, materialise(spark, took.where("__rows = 1"), "taken-once"))
+    many = materialise(spark, took.where("__rows > 1"), "taken-rows")
+    if many.count():  # rows that repeat share what they take
+        out = out.unionByName(emit(d.dropDuplicates(["__dk", source]), many))
+    return out.select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
