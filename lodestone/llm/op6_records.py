@@ -15,6 +15,7 @@ the tasks that counted, are read. Null and empty texts: the end id alone. Empty
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -28,7 +29,9 @@ from .common import discard, fresh_path, small_batches
 
 MASK = 0xA282EAD8
 END_ID = 1
-CACHE = 400_000
+CACHE = 600_000
+#: Latin letters, then signs that no rule of the splitter starts with.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*&%$#|)\]]*)")
 FRAME, PRE, INDEX = "<QI", "<Bq", "<qQQI"
 WROTE = "shard long, name string, docs long, ids long"
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -59,10 +62,12 @@ def unframe(f) -> bytes | None:
 
 
 class WordIds(dict):
-    """Token ids of a space-delimited unit, packed; kept for the commonest of them.
+    """Token ids of a space-delimited unit, packed; kept for the latest of them.
 
-    The vocabulary's splitter drops white space and never joins what stands on both sides of it, so a text's ids are
-    those of its units, one after the other.
+    The vocabulary's splitter drops white space, parts letters from signs, and never joins what stands on both sides of
+    such a place; letters are read in lower case. So a text's ids are those of its units, one after the other, and a
+    unit of Latin letters with plain signs behind them has the ids of its lower-case letters, then those of its signs.
+    Words of letters are encoded many at a time: each is one word of the splitter, so the ids part again.
     """
 
     def __init__(self, path: str):
@@ -71,23 +76,50 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "<H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<I"
         self.width = struct.calcsize(self.code)
+        self.letters: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code[1]}", *ids)
+
+    def add_letters(self, words: list[str]) -> None:
+        for k in range(0, len(words), 500):
+            part = words[k : k + 500]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, of, at = e.ids, e.word_ids, 0
+            ends = [i for i in range(1, len(of)) if of[i] != of[i - 1]] + [len(of)]
+            for w, end in zip(part, ends, strict=True):
+                self.letters[w], at = self.packed(ids[at:end]), end
+
+    def add(self, units: list[str]) -> None:
+        plain, new = [], set()
+        for u in units:
+            if m := PLAIN.fullmatch(u):
+                word, sign = m[1].lower(), m[2]
+                plain.append((u, word, sign))
+                if word not in self.letters:
+                    new.add(word)
+                if sign not in self.signs:
+                    self.signs[sign] = self.packed(self.tokenizer.encode(sign, add_special_tokens=False).ids)
+            else:
+                self[u] = self.packed(self.tokenizer.encode(u, add_special_tokens=False).ids)
+        self.add_letters(list(new))
+        for u, word, sign in plain:
+            self[u] = self.letters[word] + self.signs[sign]
 
     def of(self, text: str) -> bytes:
         units = text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.__getitem__, units))
         except KeyError:
-            new = [u for u in set(units) if u not in self]
-            if len(self) > CACHE:
-                self.clear()
-                new = list(set(units))
-            for u, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self[u] = pa_ids(e.ids, self.code)
-            return b"".join(map(self.__getitem__, units))
-
-
-def pa_ids(ids: list[int], code: str) -> bytes:
-    return struct.pack(f"<{len(ids)}{code[1]}", *ids)
+            pass
+        if len(self.letters) > CACHE:
+            self.letters.clear()
+        if len(self) > CACHE or len(self.signs) > CACHE:
+            self.clear()
+            self.signs = {"": b""}
+        self.add([u for u in set(units) if u not in self])
+        return b"".join(map(self.__getitem__, units))
 
 
 _encoders: dict[str, WordIds] = {}
