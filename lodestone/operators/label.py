@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..storage import materialise
 
 
 def is_doi(c: Column) -> Column:
@@ -45,15 +48,16 @@ def one_label(labelled: DataFrame, keys=("article_id", "dataset_id"), kind="type
 
 
 def with_row_ids(df: DataFrame, *order: str, splits: int = 64) -> DataFrame:
-    """row_id from 0 in the given order. Rows fall into ranges between a bounded sample of values of the first column;
+    """row_id from 0 in the given order. Rows fall into ranges between a bounded sample of values of the order's columns;
     ranges are counted, then numbered within, so that no task sorts all rows."""
-    first = order[0]
+    df = materialise(df.sparkSession, df, "rows")  # it is counted, sampled and numbered
+    key, whole = F.struct(*order), functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in order))
     share = max(1, df.count() // 5_000)
-    sample = df.where(F.pmod(F.xxhash64(*order), F.lit(share)) == 0).select(first).where(F.col(first).isNotNull()).distinct().orderBy(F.xxhash64(first)).limit(5_000).collect()
-    values = sorted(r[0] for r in sample)
+    picked = df.where(whole & (F.pmod(F.xxhash64(*order), F.lit(share)) == 0)).select(*order).distinct()
+    values = sorted(map(tuple, picked.orderBy(F.xxhash64(*order)).limit(5_000).collect()))
     at = [values[k] for k in sorted({len(values) * k // splits for k in range(splits)})] if values else []
-    reached = F.filter(F.array(*map(F.lit, at)), lambda s: s <= F.col(first)) if at else F.array()
-    d = df.withColumn("__p", F.when(F.col(first).isNull(), -1).otherwise(F.size(reached)))
+    bounds = [F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for v, c in zip(t, order, strict=True))) for t in at]
+    d = df.withColumn("__p", F.size(F.filter(F.array(*bounds), lambda s: s <= key)) if bounds else F.lit(0))
     sizes = d.groupBy("__p").agg(F.count("*").alias("__n"))
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1

@@ -29,10 +29,11 @@ def compiled(ci: bool, pattern: str) -> str:
 
 
 def mentions(docs: DataFrame, *, names=None, body="body", refs="refs", keep=("doc_id",)) -> DataFrame:
-    """One row a match: ``keep``, pattern_name, priority, section, start, end, value.
+    """One row a match: ``keep``, pattern_name, priority, section, start, end, value, near.
 
     Patterns for DOIs read their own section, all others the body and the references together. One cheap test a pattern
-    keeps texts without it away from the scan.
+    keeps texts without it away from the scan. ``near`` tells whether a word of the pattern's database stands within its
+    window; it is worked out while the text is at hand, so that no text is shuffled for it.
     """
     parts = []
     both = F.concat(F.col(body), F.lit("\n"), F.col(refs))
@@ -41,12 +42,16 @@ def mentions(docs: DataFrame, *, names=None, body="body", refs="refs", keep=("do
             continue
         text, section = (F.col(body), "body") if name in ("doi", "doi2") else (F.col(refs), "references") if name.startswith("doi_ref") else (both, "all")
         found = F.when(text.rlike(compiled(ci, pattern)), all_matches(text, compiled(ci, pattern))).otherwise(F.array().cast(MATCH))
-        parts.append(_tagged(found, name, priority, section))
+        parts.append(_tagged(found, name, priority, section, text))
     return docs.select(*keep, F.explode(F.concat(*parts)).alias("m")).select(*keep, "m.*")
 
 
-def _tagged(found: Column, name: str, priority: int, section: str) -> Column:
-    return F.transform(found, lambda m: F.struct(F.lit(name).alias("pattern_name"), F.lit(priority).alias("priority"), F.lit(section).alias("section"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+def _tagged(found: Column, name: str, priority: int, section: str, text: Column) -> Column:
+    def one(m: Column) -> Column:
+        fixed = [F.lit(name).alias("pattern_name"), F.lit(priority).alias("priority"), F.lit(section).alias("section")]
+        return F.struct(*fixed, *(m[k].alias(k) for k in ("start", "end", "value")), near_words(text, m["start"], m["end"], name).alias("near"))
+
+    return F.transform(found, one)
 
 
 def first_by_priority(found: DataFrame, known: DataFrame, keys=("doc_id", "value")) -> DataFrame:
@@ -55,13 +60,14 @@ def first_by_priority(found: DataFrame, known: DataFrame, keys=("doc_id", "value
     return found.join(known.select(*keys), list(keys), "left_anti").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def clusters(found: DataFrame, text: Column, *, by="doc_id", gap=50, window=100) -> DataFrame:
-    """Matches (by, prefix, start, end, and what ``text`` needs) less than ``gap`` apart form a cluster, named by its
-    first match; (by, prefix, cluster_start, cluster_end, context)."""
+def clusters(found: DataFrame, docs: DataFrame, *, by="doc_id", text="text", gap=50, window=100) -> DataFrame:
+    """Matches (by, prefix, start, end) less than ``gap`` apart form a cluster, named by its first match:
+    (by, prefix, cluster_start, cluster_end, context). Texts of ``docs`` are joined once, to the clusters."""
     w = W.partitionBy(by).orderBy("start", "end", "prefix")
     apart = F.when(F.col("start") - F.lag("end").over(w) < gap, 0).otherwise(1)
     marked = found.withColumn("new", apart).withColumn("cluster", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = marked.groupBy(by, "cluster").agg(F.min_by("prefix", F.struct("start", "end", "prefix")).alias("prefix"), F.min("start").alias("cluster_start"), F.max_by("end", F.struct("start", "end")).alias("cluster_end"), F.first(text).alias("__text"))
+    out = marked.groupBy(by, "cluster").agg(F.min_by("prefix", F.struct("start", "end", "prefix")).alias("prefix"), F.min("start").alias("cluster_start"), F.max_by("end", F.struct("start", "end")).alias("cluster_end"))
+    out = out.join(docs.select(by, F.col(text).alias("__text")), by)
     left = F.greatest(F.col("cluster_start") - window, F.lit(0))
     context = F.trim(F.substr("__text", left + 1, F.col("cluster_end") + window - left))
     return out.select(by, "prefix", "cluster_start", "cluster_end", context.alias("context"))

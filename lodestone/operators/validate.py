@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,17 +12,20 @@ from ..functions import text as tx
 
 
 def starts_with_any(c: Column, prefixes) -> Column:
-    return F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(c, p))
+    """One alternation: cheaper to plan and to run than a test for each."""
+    return c.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")")
 
 
 def contains_any(c: Column, words) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda p: F.contains(c, p))
+    return c.rlike("|".join(map(re.escape, words)))
 
 
 def doi_rejected(doi: Column, article_id: Column, *, journals=rules.JOURNALS, exempt: tuple[str, ...] = ()) -> Column:
     """The article's own registrant, a truncated DOI, a journal, or a last segment under 4 characters."""
     own = F.contains(doi, F.split(article_id, "_")[0])
-    short = (F.length(tx.last_segment(doi)) < 4) & ~starts_with_any(doi, exempt or ("\0",))
+    short = F.length(tx.last_segment(doi)) < 4
+    if exempt:
+        short &= ~starts_with_any(doi, exempt)
     return own | doi.isin(*rules.TRUNCATED) | contains_any(F.lower(doi), journals) | short
 
 
@@ -67,7 +72,7 @@ def not_blank(c: Column) -> Column:
 
 def likely_dataset(doi: Column) -> Column:
     d, low = tx.bare_doi(doi), F.lower(tx.bare_doi(doi))
-    ends = F.exists(F.array(*map(F.lit, rules.ARTICLE_ENDINGS)), lambda p: F.endswith(low, p))
+    ends = low.rlike("(?:" + "|".join(map(re.escape, rules.ARTICLE_ENDINGS)) + ")$")
     return ~starts_with_any(d, rules.ARTICLE_REGISTRANTS) & ~contains_any(low, rules.ARTICLE_WORDS) & F.length(d).between(10, 100) & F.contains(d, F.lit("/")) & ~ends
 
 

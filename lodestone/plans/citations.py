@@ -94,10 +94,8 @@ def doi_valid(spark, sf_dir):
 
 
 def accession_valid(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    m = validate.in_catalog(found(spark, sf_dir, ACCESSIONS), catalog(spark, sf_dir)).join(d, "doc_id")
-    near = F.when(F.col("pattern_name") == "geo_id", matching.near_words(F.col("text"), F.col("start"), F.col("end"), "geo_id")).otherwise(matching.near_words(F.col("text"), F.col("start"), F.col("end"), "biosample_id"))
-    return m.where(near).select("doc_id", "pattern_name", "dataset_id", "start")
+    m = found(spark, sf_dir, ACCESSIONS).where("near")
+    return validate.in_catalog(m, catalog(spark, sf_dir)).select("doc_id", "pattern_name", "dataset_id", "start")
 
 
 def recovery_pass(spark, sf_dir):
@@ -112,8 +110,7 @@ def recovery_pass(spark, sf_dir):
 def keyword_clusters(spark, sf_dir):
     d = docs(spark, sf_dir)
     parts = [_prefixed(rules.REPOSITORY_WORDS[p], p) for p in ("10.5061", "10.5281")]
-    m = d.select("doc_id", "text", F.inline(F.concat(*parts)))
-    return matching.clusters(m, F.col("text"))
+    return matching.clusters(d.select("doc_id", F.inline(F.concat(*parts))), d)
 
 
 def _prefixed(words, prefix):
