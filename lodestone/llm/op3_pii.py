@@ -124,14 +124,17 @@ def disclosures(spark: SparkSession, docs: DataFrame, found: DataFrame, *, text=
     near = materialise(spark, near.select("dk", "entity", "around", "m.*"), "pii-near")
     pairs = near.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_pair")).where(F.col("df_pair") >= support)
     entities = near.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    pairs = materialise(spark, pairs.join(entities, "entity"), "pii-pairs")
+    n = docs.count()
+    ic = F.log(F.lit(float(max(n, 1))) / F.col("df_entity"))
+    share = lambda df: F.when(ic > 0, 1 + F.log(F.least(F.lit(1.0), F.col("df_pair") / F.col(df))) / ic)
+    # no term is in fewer documents than those where it stands near some entity: that alone rules common words out
+    least = near.groupBy("term").agg(F.count_distinct("dk").alias("df_least"))
+    pairs = pairs.join(entities, "entity").join(least, "term").where(share("df_least") >= generalise)
+    pairs = materialise(spark, pairs, "pii-pairs")
     wanted = materialise(spark, pairs.select("term").distinct(), "pii-terms")  # a file: Spark knows its size and broadcasts it only if small
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\P{L}+"))).alias("term"))
     df = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    n = docs.count()
-    ic = F.log(F.lit(float(max(n, 1))) / F.col("df_entity"))
-    share = F.when(ic > 0, 1 + F.log(F.least(F.lit(1.0), F.col("df_pair") / F.col("df_term"))) / ic)
-    telling = pairs.join(df, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    telling = pairs.join(df, "term").select("entity", "term", share("df_term").alias("share")).where(F.col("share") >= generalise)
     telling = telling.select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
     hits = near.join(telling, ["entity", "term"]).groupBy("dk", "start", "end").agg(F.max("action").alias("action"))
     return materialise(spark, hits, "pii-hits")
