@@ -45,7 +45,7 @@ def orders_by_customer(spark, sf_dir):
 
 
 def orders_by_status(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(15,2)")).alias("total"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double").alias("total"))
 
 
 def order_exists(spark, sf_dir):
@@ -56,7 +56,7 @@ def order_exists(spark, sf_dir):
 
 def amend_patch(spark, sf_dir):
     out = orders.amend(client_orders(spark, sf_dir), sql_of(spark, sf_dir, PATCHES, "orders"), now())
-    return out.select("order_id", "status", "amount", "updated_by", "updated_at", "version", "result")
+    return out.select("order_id", "status", F.col("amount").cast("double").alias("amount"), "updated_by", "updated_at", "version", "result")
 
 
 def create_orders(spark, sf_dir):
@@ -235,11 +235,11 @@ _C = "count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') A
 _G = "l AS (SELECT quality, toxic, source, n_chars, CAST(n_chars > 500 AS INT) AS guess FROM labels JOIN documents USING (doc_id))"
 SQL = {
     "orders_by_customer": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey = 7",
-    "orders_by_status": "SELECT o_orderstatus, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(15,2))) AS total FROM orders GROUP BY o_orderstatus",
+    "orders_by_status": "SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) AS total FROM orders GROUP BY o_orderstatus",
     "order_exists": "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_orders FROM customer",
     "amend_patch": f"""WITH o AS ({ORDERS}), p AS ({PATCHES}), j AS (SELECT o.*, p.order_id IS NOT NULL AS has, p.expected_version, p.user_id, p.status AS ps, p.amount AS pa FROM o LEFT JOIN p USING (order_id)),
       k AS (SELECT *, CASE WHEN NOT has THEN 'none' WHEN expected_version <> version THEN 'conflict' WHEN coalesce(ps <> status, false) OR coalesce(pa <> amount, false) THEN 'amended' ELSE 'unchanged' END AS result FROM j)
-      SELECT order_id, CASE WHEN result = 'amended' THEN coalesce(ps, status) ELSE status END AS status, CASE WHEN result = 'amended' THEN coalesce(pa, amount) ELSE amount END AS amount,
+      SELECT order_id, CASE WHEN result = 'amended' THEN coalesce(ps, status) ELSE status END AS status, CAST(CASE WHEN result = 'amended' THEN coalesce(pa, amount) ELSE amount END AS DOUBLE) AS amount,
         CASE WHEN result = 'amended' THEN user_id ELSE updated_by END AS updated_by, CASE WHEN result = 'amended' THEN {_N} ELSE updated_at END AS updated_at, CASE WHEN result = 'amended' THEN version + 1 ELSE version END AS version, result FROM k""",
     "create_orders": f"SELECT 'ORD-' || CAST(c_custkey * 20 AS STRING) AS order_number, c_name AS client_id, 'PENDING' AS status, 'USD' AS currency, 1 AS version, {_N} AS created_at, {_N} AS updated_at FROM customer WHERE c_custkey * 20 NOT IN (SELECT o_orderkey FROM orders)",
     "error_statuses": "SELECT CASE event_id % 4 WHEN 0 THEN 404 WHEN 1 THEN 401 WHEN 2 THEN 409 ELSE 400 END AS status, count(*) AS n FROM events GROUP BY 1",
