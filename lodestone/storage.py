@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +13,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only where none is set (tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+        own = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+        base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return base.rstrip("/")
 
 
