@@ -1,47 +1,24 @@
-"""What the training-data operators share: the shared folder, cut lineage, held-out folds, streaming by key."""
+"""What the training-data operators share: the held-out folds, small batches, bounded broadcasts, streaming by key."""
 
 from __future__ import annotations
 
 import re
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import discard, fresh_path, materialise, shared_dir
+
+__all__ = ["discard", "fresh_path", "materialise", "shared_dir"]
+
 #: A word: letters and digits of any script.
 WORD = re.compile(r"[^\W_]+")
 #: A word of the contracts that count words: anything between ASCII white space.
 SPACED = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; only where none is set (tests), one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lodestone-{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder of our own in the shared folder, through Hadoop's file system layer."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Texts can be long: keep Arrow batches to Python small, whatever the default is."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -34,7 +34,7 @@ LEXICON = {"idiot": 3.0, "moron": 3.0, "stupid": 2.5, "loser": 2.0, "scum": 3.0,
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "sore loser", "idiot proof", "clown fish", "pond scum")
 #: Letters that look like a Latin one.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁԛԝɡαοιυνκτρεϲʏ", "aeopcyxijshdqwgaoiuvktpecy")
-ODD = re.compile("[а-ԯɡα-ϿʏІЈЅ­​-‏⁠﻿]")
+ODD = re.compile("[а-ԯɡα-ϿʏІЈЅ\u00ad\u200b-\u200f\u2060\ufeff]")
 DROPPED = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
 DIGITS = str.maketrans("0134578@$", "oieastbas")
 MIXED = re.compile(r"(?<![^\W_])(?=[\w@$]*[^\W\d_])[^\W_]*[013-578@$][\w@$]*[^\W\d_](?![^\W_])")

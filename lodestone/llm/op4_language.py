@@ -37,7 +37,8 @@ def _letters() -> np.ndarray:
 def trigrams(text: str | None) -> np.ndarray:
     """Buckets of the letter trigrams (spaces at the edges) of a text; those of spaces alone are left out."""
     cps = np.frombuffer(f"  {(text or '').lower()}  ".encode("utf-32-le", "replace"), np.uint32)
-    cps = np.where(cps < 1 << 16, _letters()[np.minimum(cps, (1 << 16) - 1)], cps)
+    high = cps >= 1 << 16
+    cps = _letters()[np.where(high, 32, cps)] if not high.any() else np.where(high, [c if chr(c).isalpha() else 32 for c in cps.tolist()], _letters()[np.where(high, 32, cps)]).astype(np.uint32)
     a, b, c = cps[:-2], cps[1:-1], cps[2:]
     h = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B) + c * np.uint32(0xC2B2AE35)
     h ^= h >> np.uint32(15)

@@ -31,6 +31,11 @@ def test_language_without_labels(spark):
     assert {r["lang_pred"] for r in op4_language.identify(spark, docs, model).collect()} == {"und"}
 
 
+@pytest.mark.parametrize(("text", "some"), [("😀 😀!", False), ("𐐀", True), ("1 2", False), (None, False), ("é", True)])
+def test_letters(text, some):
+    assert bool(len(op4_language.trigrams(text))) is some
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 5, 9])
 def test_codewords_differ(n):
     code = op4_language.codewords(n)
