@@ -21,7 +21,7 @@ SEED = "mix-1"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-ROWS_A_RANGE = 20_000
+ROWS_A_RANGE = 1_000
 
 
 def words(text: Column) -> Column:
