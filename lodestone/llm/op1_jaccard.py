@@ -282,7 +282,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text=
     nodes = materialise(spark, nodes, "nodes")
     edges = materialise(spark, candidates(spark, nodes, threshold=threshold, bands=bands, rows=rows, tolerance=tolerance, block=signature_block), "candidates")
     groups = materialise(spark, connected_components(spark, edges), "groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = bounded_broadcast(materialise(spark, groups.groupBy("root").agg(F.count("*").alias("size")), "sizes"))
     slim = nodes.drop("sig")
     members = materialise(spark, groups.join(sizes, "root").join(slim, "node"), "members")
     links = verified(spark, docs, members, doc_id=doc_id, text=text, threshold=threshold, block=block)
@@ -292,7 +292,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text=
     known = slim.join(classes, "node", "left").join(counted, "node", "left")
     known = known.select("node", "doc_id", F.coalesce("class_key", "node").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = materialise(spark, known, "known")
-    least = known.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
+    least = bounded_broadcast(materialise(spark, known.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "least-ids"))
     known = known.drop("doc_id").join(least, "class_key")
     out = drawn.select("doc_id", "dk", "node").join(known, "node", "left")
     alone = F.col("class_key").isNull()
@@ -303,6 +303,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text="tex
     """``docs`` with one row of each class: that of the least id (then text); rows without words all stay."""
     joined = materialise(spark, jaccard_join(spark, docs, doc_id=doc_id, text=text, **options).where("class_key IS NOT NULL"), "joined")
     best = joined.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "dk"))["dk"].alias("kept"))
+    best = bounded_broadcast(materialise(spark, best, "best"))
     lost = materialise(spark, joined.join(best, "class_key").where(F.col("dk") != F.col("kept")).select("dk").distinct(), "lost")
     twice = joined.groupBy("dk").count().where("count > 1").select("dk")
     twice = materialise(spark, twice.join(lost, "dk", "left_anti"), "twice")
