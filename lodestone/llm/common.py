@@ -24,9 +24,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 400_000) -> DataFrame:
-    """A table of short rows that has been written out: broadcast if it is small, else left for Spark to shuffle."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_rows: int = 400_000, weight: Column | None = None) -> DataFrame:
+    """A table of short rows that has been written out: broadcast if it is small, else left for Spark to shuffle.
+    ``weight``: for how many rows one counts, if it holds an array."""
+    n = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= max_rows else df
 
 
 def with_fields(schema: T.StructType, **more: str) -> T.StructType:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_broadcast, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 SIGN, DOT = "\ufdd0", "\ufdd1"
@@ -148,7 +148,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_i
     term = hits.select("dk", "start", "end", F.when(F.col("action") == "remove", F.lit("")).otherwise(F.lit("[TERM]")).alias("put"))
     cuts = base.unionByName(term).distinct().groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias("cuts"))
     cuts = materialise(spark, cuts, "pii-cuts")
-    d = docs.withColumn("__dk", doc_key(doc_id, text)).join(cuts.withColumnRenamed("dk", "__dk").withColumnRenamed("cuts", "__cuts"), "__dk", "left")
+    cuts = bounded_broadcast(cuts.withColumnRenamed("dk", "__dk").withColumnRenamed("cuts", "__cuts"), weight=F.size("__cuts"))
+    d = docs.withColumn("__dk", doc_key(doc_id, text)).join(cuts, "__dk", "left")
     none = F.array().cast("array<struct<start:int,end:int,put:string>>")
     # of overlapping spans the first stands
     apart = F.aggregate(
