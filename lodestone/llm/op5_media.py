@@ -111,6 +111,7 @@ def resolve(pages: DataFrame, payloads: DataFrame) -> DataFrame:
     refs = pages.select(*kept, F.explode("items").alias("item")).where("item.kind = 'media'")
     refs = refs.select(*kept, "item.pos", "item.ref", "item.caption", F.nullif(F.regexp_extract("item.ref", "^sha256:([0-9a-f]{64})$", 1), F.lit("")).alias("digest"))
     one = payloads.groupBy("digest").agg(*(F.min(c).alias(c) for c in payloads.columns if c != "digest"))  # copies are alike
+    one = materialise(pages.sparkSession, one, "payloads")  # read from files, a digest that many refer to can be split in the join
     return refs.join(one, "digest", "left")
 
 
