@@ -6,7 +6,7 @@ protected entity. From all documents, co-occurrence tells how much a term beside
 ``PMI(t, e) = IC(e) + log(df(t, e) / df(t))`` and ``IC(e) = log(N / df(e))``, the share ``PMI / IC`` is 1 if the term
 occurs nowhere else and falls with every other document that holds it. From ``generalise`` on, a term near that entity
 becomes a placeholder; from ``remove`` on it is dropped. A pair counts only with ``support`` different surroundings, so
-that copies of one text give no evidence; df(t) counts every document.
+that copies of one text give no evidence; all of df(t, e), df(e), df(t) and N count documents, copies too.
 
 Offsets are code points, ends exclusive. Null text is the empty text and has no spans. Repeated rows and null ids are
 treated row by row. Empty table: no rows. Long runs of digits, dots or labels are matched without recursion: signs
@@ -114,21 +114,22 @@ def doc_key(doc_id="doc_id", text="text") -> Column:
 
 def disclosures(spark: SparkSession, docs: DataFrame, found: DataFrame, *, text="text", support=SUPPORT, generalise=GENERALISE, remove=REMOVE) -> DataFrame:
     """(dk, start, end, action) of the terms near entities that disclose them; action is 'generalise' or 'remove'."""
-    near = found.select("dk", F.explode("spans").alias("s"))
+    near = found.withColumn("row", F.monotonically_increasing_id()).select("row", "dk", F.explode("spans").alias("s"))
 
     def terms(side: str, at: Column) -> Column:
         return F.transform(matches(F.col(f"s.{side}"), TERM), lambda m: F.struct(F.lower(m["value"]).alias("term"), (at + m["start"]).alias("start"), (at + m["end"]).alias("end")))
 
     both = F.concat(terms("before", F.col("s.from")), terms("after", F.col("s.end")))
-    near = near.select("dk", "s.entity", F.xxhash64("s.before", "s.after").alias("around"), F.explode(both).alias("m"))
-    near = materialise(spark, near.select("dk", "entity", "around", "m.*"), "pii-near")
-    pairs = near.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_pair")).where(F.col("df_pair") >= support)
-    entities = near.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
+    near = near.select("row", "dk", "s.entity", F.xxhash64("s.before", "s.after").alias("around"), F.explode(both).alias("m"))
+    near = materialise(spark, near.select("row", "dk", "entity", "around", "m.*"), "pii-near")
+    several = near.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("around")).where(F.col("around") >= support)
+    pairs = near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_pair")).join(several.drop("around"), ["entity", "term"])
+    entities = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     n = docs.count()
     ic = F.log(F.lit(float(max(n, 1))) / F.col("df_entity"))
     share = lambda df: F.when(ic > 0, 1 + F.log(F.least(F.lit(1.0), F.col("df_pair") / F.col(df))) / ic)
     # no term is in fewer documents than those where it stands near some entity: that alone rules common words out
-    least = near.groupBy("term").agg(F.count_distinct("dk").alias("df_least"))
+    least = near.groupBy("term").agg(F.count_distinct("row").alias("df_least"))
     pairs = pairs.join(entities, "entity").join(least, "term").where(share("df_least") >= generalise)
     pairs = materialise(spark, pairs, "pii-pairs")
     wanted = materialise(spark, pairs.select("term").distinct(), "pii-terms")  # a file: Spark knows its size and broadcasts it only if small

@@ -57,6 +57,15 @@ def test_copies_are_no_evidence(spark):
     assert all("Zanzibar" in r["text"] for r in op3_pii.sanitise(spark, docs).where("doc_id < 99").collect())
 
 
+def test_copies_keep_the_share(spark):
+    rows = [(k, f"{w} the Zanzibar office writes to jo@ex.org {w}") for k, w in enumerate(("today", "later", "often"))]
+    rows += [(100 + k, rows[0][1]) for k in range(100)] + [(1000 + k, f"the office number {k}") for k in range(900)]
+    out = op3_pii.sanitise(spark, spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 1000").collect()
+    assert len(out) == 103
+    assert not any("Zanzibar" in r["text"] for r in out)
+    assert all("office" in r["text"] for r in out)
+
+
 def test_empty_and_clashing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, dk string, spans int")
     assert op3_pii.sanitise(spark, docs).collect() == []
