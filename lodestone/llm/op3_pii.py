@@ -2,11 +2,15 @@
 on the executors.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers. Every span's value is a
-protected entity. From all documents, co-occurrence tells how much a term beside an entity discloses it: with
-``PMI(t, e) = IC(e) + log(df(t, e) / df(t))`` and ``IC(e) = log(N / df(e))``, the share ``PMI / IC`` is 1 if the term
-occurs nowhere else and falls with every other document that holds it. From ``generalise`` on, a term near that entity
-becomes a placeholder; from ``remove`` on it is dropped. A pair counts only with ``support`` different surroundings, so
-that copies of one text give no evidence; all of df(t, e), df(e), df(t) and N count documents, copies too.
+protected entity. From all documents, co-occurrence within whole documents tells how much a term discloses an entity:
+with ``PMI(t, e) = IC(e) + log(df(t, e) / df(t))`` and ``IC(e) = log(N / df(e))``, the share ``PMI / IC`` is 1 if the
+term occurs nowhere else and falls with every other document that holds it. From ``generalise`` on, the term becomes a
+placeholder, from ``remove`` on it is dropped. All of df(t, e), df(e), df(t) and N count documents, copies too.
+Whether a pair is more than chance is told by how far its PMI exceeds what is expected: with k different texts of the
+pair and m expected ones, ``k log(k / m) - k + m`` must reach ``surprise`` for the term to go from all documents of the
+entity (by default chance brings such a pair about at most once in 100 times), and ``surprise`` plus the log of the
+number of pairs for it to go from every other document as well. Copies of one text count once in k and m; an entity in
+a single text is settled as soon as the corpus is large enough.
 
 Offsets are code points, ends exclusive. Null text is the empty text and has no spans. Repeated rows and null ids are
 treated row by row. Empty table: no rows. Long runs of digits, dots or labels are matched without recursion: signs
@@ -23,11 +27,11 @@ from .common import bounded_broadcast, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 SIGN, DOT = "\ufdd0", "\ufdd1"
-WINDOW = 80
-SUPPORT = 3
+SURPRISE = 4.6
 GENERALISE = 0.7
 REMOVE = 0.9
 TERM = r"\p{L}{3,}"
+COMMON = 200_000
 LOCAL = rf"[A-Za-z0-9._%+\-{DOT}]"
 PATTERNS = {
     # possessive, and only from the start of a run or the end of the last match: any other start fails likewise
@@ -40,19 +44,21 @@ PATTERNS = {
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> of all matches: the lengths of what lies between them give the offsets."""
-    values = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    values = F.regexp_extract_all(text, F.concat(F.lit("("), pattern, F.lit(")")), 1)
     gaps = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), none.alias("out"))
+    # zipped, as an expression inside the step would be worked out anew for each match
+    both = F.filter(F.zip_with(values, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap"))), lambda x: x["value"].isNotNull())
 
-    def step(acc: Column, value: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, acc["k"]))
-        end = start + F.length(value)
-        return F.struct(end.alias("at"), (acc["k"] + 1).alias("k"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["value"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.aggregate(values, first, step, lambda acc: acc["out"])
+    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 def digits(value: Column) -> Column:
@@ -90,67 +96,103 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.when(seen[k], passed(k)).otherwise(none) for k in KINDS}
 
 
-def find(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id", window=WINDOW) -> DataFrame:
-    """(doc_id, dk, spans) of every row, written out; dk tells rows apart by id and text. A span has kind, start, end,
-    the entity, and the surroundings before and after it."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), doc_key(doc_id, text).alias("dk"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    d = d.select("doc_id", "dk", "t", *(c.alias(k) for k, c in base_spans(F.col("t")).items()))
+def masked(text: Column, spans: Column) -> Column:
+    """The text with blanks for e-mail addresses, at equal length; the other kinds hold no letters."""
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, c: Column) -> Column:
+        more = F.array(F.substr(text, acc["at"] + 1, c["start"] - acc["at"]), F.repeat(F.lit(" "), c["end"] - c["start"]))
+        return F.struct(c["end"].alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    mails = F.filter(spans, lambda x: x["kind"] == "email")
+    whole = F.aggregate(mails, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    return F.when(F.size(mails) > 0, whole).otherwise(text)
+
+
+def find(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id") -> DataFrame:
+    """(dk, tk, spans, forms) of every row, written out; dk tells rows apart by id and text, tk texts. A span has kind,
+    start, end and the entity; forms are the different terms of the whole text outside of e-mail addresses."""
+    d = docs.select(doc_key(doc_id, text).alias("dk"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    d = d.select("dk", "t", *(c.alias(k) for k, c in base_spans(F.col("t")).items()))
 
     def dress(kind: str) -> Column:
-        return F.transform(
-            F.col(kind),
-            lambda s: F.struct(
-                F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(kind + ":"), F.lower(F.substr("t", s["start"] + 1, s["end"] - s["start"]))).alias("entity"),
-                F.greatest(s["start"] - window, F.lit(0)).alias("from"), F.substr("t", F.greatest(s["start"] - window, F.lit(0)) + 1, F.least(s["start"], F.lit(window))).alias("before"), F.substr("t", s["end"] + 1, F.lit(window)).alias("after"),
-            ),
-        )
+        entity = lambda s: F.concat(F.lit(kind + ":"), F.lower(F.substr("t", s["start"] + 1, s["end"] - s["start"])))
+        return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), entity(s).alias("entity")))
 
-    return materialise(spark, d.select("doc_id", "dk", F.concat(*map(dress, KINDS)).alias("spans")), "pii")
+    d = d.select("dk", "t", F.concat(*map(dress, KINDS)).alias("spans"))
+    forms = F.array_distinct(F.regexp_extract_all(masked(F.col("t"), F.col("spans")), F.lit(TERM), 0))
+    return materialise(spark, d.select("dk", F.xxhash64("t").alias("tk"), "spans", forms.alias("forms")), "pii")
 
 
 def doc_key(doc_id="doc_id", text="text") -> Column:
     return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
 
 
-def disclosures(spark: SparkSession, docs: DataFrame, found: DataFrame, *, text="text", support=SUPPORT, generalise=GENERALISE, remove=REMOVE) -> DataFrame:
-    """(dk, start, end, action) of the terms near entities that disclose them; action is 'generalise' or 'remove'."""
-    near = found.withColumn("row", F.monotonically_increasing_id()).select("row", "dk", F.explode("spans").alias("s"))
-
-    def terms(side: str, at: Column) -> Column:
-        return F.transform(matches(F.col(f"s.{side}"), TERM), lambda m: F.struct(F.lower(m["value"]).alias("term"), (at + m["start"]).alias("start"), (at + m["end"]).alias("end")))
-
-    both = F.concat(terms("before", F.col("s.from")), terms("after", F.col("s.end")))
-    near = near.select("row", "dk", "s.entity", F.xxhash64("s.before", "s.after").alias("around"), F.explode(both).alias("m"))
-    near = materialise(spark, near.select("row", "dk", "entity", "around", "m.*"), "pii-near")
-    several = near.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("around")).where(F.col("around") >= support)
-    pairs = near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_pair")).join(several.drop("around"), ["entity", "term"])
-    entities = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    n = docs.count()
-    ic = F.log(F.lit(float(max(n, 1))) / F.col("df_entity"))
-    share = lambda df: F.when(ic > 0, 1 + F.log(F.least(F.lit(1.0), F.col("df_pair") / F.col(df))) / ic)
-    # no term is in fewer documents than those where it stands near some entity: that alone rules common words out
-    least = near.groupBy("term").agg(F.count_distinct("row").alias("df_least"))
-    pairs = pairs.join(entities, "entity").join(least, "term").where(share("df_least") >= generalise)
+def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, generalise=GENERALISE, remove=REMOVE) -> DataFrame:
+    """(dk, hits) of the rows with terms that disclose some entity, written out; hits maps forms to 'generalise' or 'remove'."""
+    terms = F.array_distinct(F.transform("forms", lambda x: F.lower(x)))
+    df = materialise(spark, found.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df_term")), "pii-df")
+    n = float(max(found.count(), 1))
+    held = found.where(F.size("spans") > 0).select("dk", "tk", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"), "forms")
+    per_text = held.groupBy("entity", "tk").agg(F.count("*").alias("rows"))
+    entities = materialise(spark, per_text.groupBy("entity").agg(F.sum("rows").alias("df_entity"), F.count("*").alias("entity_texts")), "pii-entities")
+    # no pair with a term of more documents than this reaches the share; such terms of the commonest are left out at once
+    most = float(entities.agg(F.max("df_entity")).first()[0] or 0) ** generalise * n ** (1 - generalise) * 1.001
+    plain = F.broadcast(commonest(df).where(F.col("df_term") > most).select("term"))
+    pairs = held.select("tk", "entity", F.explode(terms).alias("term")).join(plain, "term", "left_anti")
+    pairs = pairs.groupBy("entity", "term", "tk").agg(F.count("*").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("df_pair"), F.count("*").alias("texts"))
     pairs = materialise(spark, pairs, "pii-pairs")
-    wanted = materialise(spark, pairs.select("term").distinct(), "pii-terms")  # a file: Spark knows its size and broadcasts it only if small
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\P{L}+"))).alias("term"))
-    df = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    telling = pairs.join(df, "term").select("entity", "term", share("df_term").alias("share")).where(F.col("share") >= generalise)
-    telling = telling.select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
-    hits = near.join(telling, ["entity", "term"]).groupBy("dk", "start", "end").agg(F.max("action").alias("action"))
+    tried = float(max(pairs.count(), 1))
+    pairs = pairs.join(df, "term").join(entities, "entity")
+    ic = F.log(F.lit(n) / F.col("df_entity"))
+    share = F.when(ic > 0, 1 + F.log(F.col("df_pair") / F.col("df_term")) / ic)
+    # different texts where the term stands with the entity, and how many chance would give; further copies count in neither
+    k = F.col("texts")
+    m = F.col("entity_texts") * (F.col("df_term") - F.col("df_pair") + k) / (F.lit(n) - F.col("df_entity") + F.col("entity_texts"))
+    pairs = pairs.select("entity", "term", share.alias("share"), k.alias("k"), m.alias("m")).where((F.col("share") >= generalise) & (F.col("k") > F.col("m")))
+    pairs = pairs.withColumn("gain", F.col("k") * F.log(F.col("k") / F.col("m")) - F.col("k") + F.col("m")).where(F.col("gain") >= surprise)
+    action = F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")
+    telling = materialise(spark, pairs.select("entity", "term", action, (F.col("gain") >= surprise + F.log(F.lit(tried))).alias("wide")), "pii-telling")
+    own = held.select("dk", "entity", F.explode("forms").alias("form")).withColumn("term", F.lower("form")).join(plain, "term", "left_anti")
+    own = own.join(telling.hint("merge"), ["entity", "term"]).select("dk", "form", "action")
+    wide = materialise(spark, telling.where("wide").groupBy("term").agg(F.max("action").alias("action")), "pii-wide")
+    # words that are common and disclose nothing, most of all text, need not be dealt out
+    dull = F.broadcast(commonest(df).join(wide, "term", "left_anti").select("term"))
+    words = found.select("dk", F.explode("forms").alias("form")).withColumn("term", F.lower("form")).join(dull, "term", "left_anti")
+    hits = own.unionByName(words.join(bounded_broadcast(wide), "term").select("dk", "form", "action"))
+    hits = hits.groupBy("dk", "form").agg(F.max("action").alias("action")).groupBy("dk").agg(F.map_from_entries(F.collect_list(F.struct("form", "action"))).alias("hits"))
     return materialise(spark, hits, "pii-hits")
 
 
+def commonest(df: DataFrame) -> DataFrame:
+    """The terms that hold at least a COMMON-th of all places each: never more than COMMON terms."""
+    places = df.agg(F.sum("df_term")).first()[0] or 0
+    return df.where(F.col("df_term") >= places / COMMON)
+
+
+def mark(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id", **options) -> DataFrame:
+    """``docs`` with __spans (the base spans) and __terms (start, end and action of disclosing terms)."""
+    found = find(spark, docs, text=text, doc_id=doc_id)
+    hits = disclosures(spark, found, **options)
+    base = found.where(F.size("spans") > 0).select("dk", "spans", F.lit(None).cast("map<string,string>").alias("hits"))
+    both = base.unionByName(hits.select("dk", F.lit(None).cast(base.schema["spans"].dataType).alias("spans"), "hits"))
+    both = both.groupBy(F.col("dk").alias("__dk")).agg(F.first("spans", True).alias("__spans"), F.first("hits", True).alias("__hits"))
+    both = materialise(spark, both, "pii-marks")
+    none = F.array().cast(base.schema["spans"].dataType)
+    both = bounded_broadcast(both, weight=F.size(F.coalesce("__spans", none)) + F.coalesce(F.size(F.map_keys("__hits")), F.lit(0)))
+    d = docs.withColumn("__dk", doc_key(doc_id, text)).join(both, "__dk", "left").withColumn("__spans", F.coalesce("__spans", none))
+    some = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("__hits"), "|"), F.lit(r")(?!\p{L})"))
+    terms = F.transform(matches(masked(F.col(text), F.col("__spans")), some), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.col("__hits")[m["value"]].alias("action")))
+    none = F.array().cast("array<struct<start:int,end:int,action:string>>")
+    return d.withColumn("__terms", F.when(F.col("__hits").isNotNull(), terms).otherwise(none)).drop("__dk", "__hits")
+
+
 def sanitise(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id", **options) -> DataFrame:
     """``docs`` with base spans replaced by their kind in brackets, disclosing terms by [TERM] or nothing."""
-    found = find(spark, docs, text=text, doc_id=doc_id)
-    hits = disclosures(spark, docs, found, text=text, **options)
-    base = found.select("dk", F.explode("spans").alias("s")).select("dk", "s.start", "s.end", F.concat(F.lit("["), F.upper("s.kind"), F.lit("]")).alias("put"))
-    term = hits.select("dk", "start", "end", F.when(F.col("action") == "remove", F.lit("")).otherwise(F.lit("[TERM]")).alias("put"))
-    cuts = base.unionByName(term).distinct().groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias("cuts"))
-    cuts = materialise(spark, cuts, "pii-cuts")
-    cuts = bounded_broadcast(cuts.withColumnRenamed("dk", "__dk").withColumnRenamed("cuts", "__cuts"), weight=F.size("__cuts"))
-    d = docs.withColumn("__dk", doc_key(doc_id, text)).join(cuts, "__dk", "left")
+    d = mark(spark, docs, text=text, doc_id=doc_id, **options)
+    base = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
+    term = F.transform("__terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", F.lit("")).otherwise(F.lit("[TERM]")).alias("put")))
+    d = d.withColumn("__cuts", F.array_sort(F.concat(base, term)))
     none = F.array().cast("array<struct<start:int,end:int,put:string>>")
     # of overlapping spans the first stands
     apart = F.aggregate(
@@ -168,10 +210,9 @@ def sanitise(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_i
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find(spark, docs)
-    hits = disclosures(spark, docs, found).groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
+    out = mark(spark, docs)
     shown = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    out = found.join(hits, "dk", "left").select("doc_id", *map(of, KINDS), shown(F.col("spans")).alias("base"), shown(terms).alias("more"))
+    terms = F.transform("__terms", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    of = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    out = out.select("doc_id", *map(of, KINDS), shown(F.col("__spans")).alias("base"), shown(terms).alias("more"))
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif("more", F.lit(""))).alias("spans"))

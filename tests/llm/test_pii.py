@@ -71,3 +71,18 @@ def test_empty_and_clashing(spark):
     assert op3_pii.sanitise(spark, docs).collect() == []
     docs = spark.createDataFrame([(1, None, "k", 1), (1, None, "k", 1), (None, "a@b.co", "k", 2)], "doc_id long, text string, dk string, cuts int")
     assert sorted((r["text"] or "", r["cuts"], r["dk"]) for r in op3_pii.sanitise(spark, docs).collect()) == [("", 1, "k"), ("", 1, "k"), ("[EMAIL]", 2, "k")]
+
+
+def test_terms_far_away_and_elsewhere(spark):
+    far = "the office keeps its own old books here and goes on with them for a long while yet " * 3
+    rows = [(k, f"Zanzibar {far} jo@ex.org") for k in range(2)]  # two documents, one text, and one more
+    rows += [(2, f"{far} a line of the matter. Zanzibar. {far} jo@ex.org"), (3, f"{far} once@only.org {far} Quagga {far}")]
+    rows += [(1000 + k, f"{far} number {k} the matter of the line") for k in range(900)]
+    rows += [(5000, "éQuagga quagga quaggas QUAGGA Quagga@only.net"), (5001, "a letter from Zanzibar")]
+    out = {r["doc_id"]: r["text"] for r in op3_pii.sanitise(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == len(rows)
+    assert not any("Zanzibar" in out[k] for k in (0, 1, 2))
+    assert "Zanzibar" not in out[5001] and "a letter from" in out[5001]
+    assert "Quagga" not in out[3] and "[EMAIL]" in out[3]
+    assert out[3].count("office") == rows[3][1].count("office")
+    assert out[1500] == rows[504][1]
