@@ -9,19 +9,37 @@ from pyspark.sql import functions as F
 from .. import rules
 
 MATCH = "array<struct<start:int,end:int,value:string>>"
+RUN = 64
 
 
-def all_matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> (code points, ends exclusive): gaps and matches alternate, so lengths add up."""
-    values = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(MATCH).alias("out"))
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once: inside other functions' steps it would be for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(acc: Column, v: Column) -> Column:
-        a = acc["at"] + F.length(F.get(gaps, acc["k"]))
-        return F.struct((a + F.length(v)).alias("at"), (acc["k"] + 1).alias("k"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), (a + F.length(v)).alias("end"), v.alias("value")))).alias("out"))
 
-    return F.aggregate(values, start, step, lambda acc: acc["out"])
+def all_matches(text: Column, pattern: str | Column) -> Column:
+    """array<struct<start, end, value>> (code points, ends exclusive): gaps and matches alternate, so lengths add up.
+
+    Sums run within runs of matches, and over the runs, so that the time grows with the number of matches alone.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    values = F.regexp_extract_all(text, F.concat(F.lit("("), pattern, F.lit(")")), 1)
+    steps = F.zip_with(values, F.split(text, pattern, -1), lambda v, g: F.struct(v.alias("value"), F.length(g).alias("gap"), F.length(v).alias("n")))
+    return let(F.filter(steps, lambda x: x["value"].isNotNull()), _placed)
+
+
+def _placed(steps: Column) -> Column:
+    """Start and end of matches of which value, length (n) and distance from the one before (gap) are known."""
+    width = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["gap"] + x["n"])
+    starts = lambda runs: F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, r: F.struct((acc["at"] + width(r)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        a = acc["at"] + x["gap"]
+        return F.struct((a + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), (a + x["n"]).alias("end"), x["value"].alias("value")))).alias("out"))
+
+    place = lambda run, at: F.aggregate(run, F.struct(at.alias("at"), F.array().cast(MATCH).alias("out")), step, lambda acc: acc["out"])
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(steps) - 1, F.lit(0)), F.lit(RUN)), lambda k: F.slice(steps, k + 1, F.lit(RUN)))
+    return let(runs, lambda runs: F.flatten(F.zip_with(runs, starts(runs), place)))
 
 
 def compiled(ci: bool, pattern: str) -> str:
