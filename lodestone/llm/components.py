@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, used_up
 
 
 # The least neighbours are written out before they are joined back: with both sides of the join read from files, Spark
@@ -15,13 +15,18 @@ from .common import materialise
 def _large_star(spark: SparkSession, e: DataFrame) -> DataFrame:
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = materialise(spark, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-    return both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = materialise(spark, both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+    used_up(spark, low)
+    return out
 
 
 def _small_star(spark: SparkSession, e: DataFrame) -> DataFrame:
     low = materialise(spark, e.groupBy("a").agg(F.min("b").alias("m")), "least")
     joined = e.join(low, "a")
-    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+    out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+    out = materialise(spark, out.where(F.col("a") != F.col("b")).distinct(), "edges")
+    used_up(spark, low)
+    return out
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -37,8 +42,10 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     e, before = materialise(spark, e, "edges"), None
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     for _ in range(max_rounds):
-        big = materialise(spark, _large_star(spark, e).distinct(), "edges")
-        e = materialise(spark, _small_star(spark, big).where(F.col("a") != F.col("b")).distinct(), "edges")
+        big = _large_star(spark, e)
+        used_up(spark, e)
+        e = _small_star(spark, big)
+        used_up(spark, big)
         now = mark(e)
         if now == before or now[0] == 0:
             break

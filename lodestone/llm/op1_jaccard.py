@@ -3,16 +3,22 @@
 Texts are lower-case words; equal word sequences are one node. Every node has the set of its five-word shingles and a
 MinHash signature. Nodes that share a band of the signature are compared a part of the signature at a time: a pair is
 dropped as soon as the posterior probability (uniform prior) that its similarity reaches the threshold falls below the
-tolerance. What survives links nodes into groups, and within a group every pair's similarity is computed exactly from
-the shingles. Bands and tolerance lose a pair at the threshold with a probability of about 1e-6.
+tolerance. What survives links nodes into groups. Within a group every pair goes through the same pruning, and those
+that survive are compared exactly by their shingles. Bands and tolerance lose a pair at the threshold with a
+probability of about 1e-6.
 
 No rows are made for pairs. Buckets and groups beyond a block's size are cut into blocks, and each task compares two
 blocks; it returns, for each node, how many documents it is linked to and one edge that keeps its class together. So
-the result is one row a document: its class (the least id in it) and its number of links, copies included.
+the result is one row a document: its class (the least id in it) and its number of links, copies included. A group of
+n different texts costs n * n / BLOCK rows of blocks: counting the links of n texts that are all alike takes n * n
+comparisons, and this spreads them evenly. Exact copies are one node and cost nothing here.
 
-Fewer than five words are one shingle. Null texts and texts without words are linked to nothing and are classes of
-their own (by id). Null ids: such rows are compared like any other, and a class of theirs alone has a null id.
-Repeated rows are copies. Empty table: no rows. Further columns are ignored.
+Texts are shuffled only if they may be in a group; nothing that grows with the table is broadcast or collected.
+
+Whole texts are read, however long. Fewer than five words are one shingle. Null texts and texts without words are
+linked to nothing and are classes of their own (by id). Null ids: such rows are compared like any other, and a class of
+theirs alone has a null id. Repeated rows are copies. Ties (equal similarity) need no order: every pair at the threshold
+or above is a link. Empty table: no rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +29,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_broadcast, keyed_runs, materialise, small_batches, with_fields
+from .common import WORD, keyed_runs, materialise, row_key, sieve, sifted, sliced, used_up, with_fields
 from .components import connected_components
 
 SHINGLE = 5
@@ -168,11 +173,10 @@ def _blocks(df: DataFrame, group: list[str], size: str, block: int) -> DataFrame
 
 def sketch(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text="text", bands=BANDS, rows=ROWS) -> DataFrame:
     """(doc_id, dk, node, sig) of every row, written out; dk tells rows apart, node and sig are null without words."""
-    small_batches(spark)
     turns = _turns(bands * rows)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             nodes, sigs = [], []
             for t in b["text"].to_pylist():
                 w = words_of(t)
@@ -184,8 +188,15 @@ def sketch(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text="text"
     return materialise(spark, d.mapInArrow(run, with_fields(d.select("doc_id", "dk").schema, node="binary", sig="binary")), "sketch")
 
 
-def row_key(doc_id="doc_id", text="text"):
-    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+def met_in_blocks(t: pa.Table, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one pair of blocks (or of one block) that their signatures don't rule out."""
+    own, blk = t["own"].to_numpy(), t["blk"].to_numpy()
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(t.num_rows, -1)
+    if own.all():
+        return surviving(sig, sig, least, True)
+    left, right = np.flatnonzero(blk == blk.min()), np.flatnonzero(blk != blk.min())
+    i, j = surviving(sig[left], sig[right], least, False)
+    return left[i], right[j]
 
 
 def candidates(spark: SparkSession, nodes: DataFrame, *, threshold=THRESHOLD, bands=BANDS, rows=ROWS, tolerance=TOLERANCE, block=SIGNATURE_BLOCK) -> DataFrame:
@@ -194,24 +205,20 @@ def candidates(spark: SparkSession, nodes: DataFrame, *, threshold=THRESHOLD, ba
     width = 4 * rows
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substr("sig", i * width + 1, F.lit(width)))))
     at = nodes.select("node", band.alias("bucket"))
-    w = W.partitionBy("bucket")
     one, two = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
-    at = at.select("node", F.count("*").over(w).alias("n"), F.bit_xor(one).over(w).alias("f1"), F.bit_xor(two).over(w).alias("f2")).where("n > 1")
+    # buckets are summed up, then joined back: a bucket that many share is split by the join, no task holds it whole
+    company = at.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(one).alias("f1"), F.bit_xor(two).alias("f2")).where("n > 1")
+    company = materialise(spark, company, "companies")
     # pairs that meet in several bands mostly meet in like company: one bucket of each company is enough
-    at = materialise(spark, at.dropDuplicates(["node", "n", "f1", "f2"]), "buckets")
-    met = _blocks(at.join(nodes.select("node", "sig"), "node"), ["f1", "f2", "n"], "n", block)
+    met = materialise(spark, at.join(company, "bucket").select("node", "n", "f1", "f2").dropDuplicates(["node", "n", "f1", "f2"]), "buckets")
+    used_up(spark, company)
+    met = _blocks(met.join(nodes.select("node", "sig"), "node"), ["f1", "f2", "n"], "n", block)
 
     def run(batches):
         out_a, out_b = [], []
         for _, t in keyed_runs(batches, "key"):
-            own, blk = t["own"].to_numpy(), t["blk"].to_numpy()
-            node, sig = t["node"].to_pylist(), np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(t.num_rows, -1)
-            if own.all():
-                i, j = surviving(sig, sig, least, True)
-            else:
-                left, right = np.flatnonzero(blk == blk.min()), np.flatnonzero(blk != blk.min())
-                i, j = surviving(sig[left], sig[right], least, False)
-                i, j = left[i], right[j]
+            node = t["node"].to_pylist()
+            i, j = met_in_blocks(t, least)
             if len(i):
                 lab = roots(len(node), i, j)
                 for k in np.flatnonzero(lab != np.arange(len(lab))):
@@ -223,96 +230,97 @@ def candidates(spark: SparkSession, nodes: DataFrame, *, threshold=THRESHOLD, ba
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
 
-    small_batches(spark, 4096)
     met = met.select("key", "own", "blk", "node", "sig").repartition("key").sortWithinPartitions("key")
     return met.mapInArrow(run, "a binary, b binary")
 
 
-def verified(spark: SparkSession, docs: DataFrame, members: DataFrame, *, doc_id="doc_id", text="text", threshold=THRESHOLD, block=BLOCK) -> DataFrame:
-    """(node, links, root): exact links of ``members`` (node, doc_id, copies, root, size) within each group ``root``."""
-    small_batches(spark, 256)
-    m = bounded_broadcast(members.withColumnRenamed("doc_id", "rep"))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    d = d.join(m, d["doc_id"].eqNullSafe(m["rep"])).select("node", "root", "size", "copies", "text")
+def verified(spark: SparkSession, docs: DataFrame, members: DataFrame, *, doc_id="doc_id", text="text", threshold=THRESHOLD, bands=BANDS, rows=ROWS, tolerance=TOLERANCE, block=BLOCK) -> DataFrame:
+    """(node, links, root): links of ``members`` (node, dk, copies, root, size, sig) within each group ``root``. Pairs of
+    a group go through the pruning once more, as most of them never met; the exact comparison is for those that survive.
+
+    Texts reach it by the row key ``dk`` of one row of each node. A sieve of these keys keeps all other texts in place.
+    """
+    least = least_matches(threshold, tolerance, range(STEP, bands * rows + 1, STEP))
+    wanted = sieve(spark, members.select("dk"), "members")
+    d = docs.select(row_key(doc_id, text).alias("dk"), F.col(text).alias("text"))
+    d = sifted(d, "dk", wanted).where("__may").select("dk", "text").dropDuplicates(["dk"])
+    d = d.join(members, "dk").select("node", "root", "size", "copies", "sig", "text")
 
     def cut(batches):
-        for b in batches:
-            keep, sets = [], []
-            for k, (node, t) in enumerate(zip(b["node"].to_pylist(), b["text"].to_pylist(), strict=True)):
-                w = words_of(t)
-                if w and node_of(w) == node:  # ids may repeat with other texts
-                    keep.append(k)
-                    sets.append(shingles(w).tobytes())
-            s = b.select(["node", "root", "size", "copies"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*s.columns, pa.array(sets, pa.binary())], [*s.schema.names, "grams"])
+        for b in sliced(batches, 256):
+            sets = [shingles(words_of(t)).tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], [*b.schema.names[:-1], "grams"])
 
     sets = d.mapInArrow(cut, with_fields(d.drop("text").schema, grams="binary"))
-    met = _blocks(sets, ["root"], "size", block).select("key", "own", "blk", "node", "copies", "grams").repartition("key").sortWithinPartitions("key")
+    met = _blocks(sets, ["root"], "size", block).select("key", "own", "blk", "node", "copies", "sig", "grams").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         for _, t in keyed_runs(batches, "key"):
-            node, first = t["node"].to_pylist(), {}
-            for k, x in enumerate(node):
-                first.setdefault(x, k)  # repeated rows
-            t = t.take(pa.array(list(first.values())))
-            node, own, blk, copies = list(first), t["own"].to_numpy(), t["blk"].to_numpy(), t["copies"].to_numpy()
-            if len(node) < 2:
+            i, j = met_in_blocks(t, least)
+            if not len(i):
                 continue
+            some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            i, j = at[: len(i)], at[len(i) :]
+            t = t.take(pa.array(some))
             sets = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
-            size = np.array([len(s) for s in sets], np.float64)
-            both = shared_counts(sets).astype(np.float64)
-            link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-            np.fill_diagonal(link, False)
-            if not own.all():
-                link &= blk[:, None] != blk[None, :]
-            i, j = np.nonzero(link)
-            some = np.flatnonzero(link.any(1))
-            if len(some):
-                lab = roots(len(node), i, j)
-                links = link @ copies
-                yield pa.RecordBatch.from_arrays([pa.array([node[k] for k in some], pa.binary()), pa.array(links[some].astype(np.int64)), pa.array([node[k] for k in lab[some]], pa.binary())], ["node", "links", "root"])
+            size, both = np.array([len(s) for s in sets], np.float64), shared_counts(sets)[i, j].astype(np.float64)
+            alike = both >= threshold * (size[i] + size[j] - both) - 1e-9
+            i, j = i[alike], j[alike]
+            if len(i):
+                node, copies = t["node"].to_pylist(), t["copies"].to_numpy()
+                links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+                lab, linked = roots(len(node), i, j), np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array([node[k] for k in linked], pa.binary()), pa.array(links[linked].astype(np.int64)), pa.array([node[k] for k in lab[linked]], pa.binary())], ["node", "links", "root"])
 
-    return materialise(spark, met.mapInArrow(run, "node binary, links long, root binary"), "links")
+    out = materialise(spark, met.mapInArrow(run, "node binary, links long, root binary"), "links")
+    used_up(spark, wanted)
+    return out
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text="text", threshold=THRESHOLD, bands=BANDS, rows=ROWS, tolerance=TOLERANCE, block=BLOCK, signature_block=SIGNATURE_BLOCK) -> DataFrame:
     """(doc_id, dk, class_key, class_id, n_links) for every row; class_key is null for texts without words."""
+    bands_and = {"threshold": threshold, "bands": bands, "rows": rows, "tolerance": tolerance}
     drawn = sketch(spark, docs, doc_id=doc_id, text=text, bands=bands, rows=rows)
-    nodes = drawn.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
+    nodes = drawn.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("dk").alias("dk"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
     nodes = materialise(spark, nodes, "nodes")
-    edges = materialise(spark, candidates(spark, nodes, threshold=threshold, bands=bands, rows=rows, tolerance=tolerance, block=signature_block), "candidates")
+    edges = materialise(spark, candidates(spark, nodes, **bands_and, block=signature_block), "candidates")
     groups = materialise(spark, connected_components(spark, edges), "groups")
-    sizes = bounded_broadcast(materialise(spark, groups.groupBy("root").agg(F.count("*").alias("size")), "sizes"))
-    slim = nodes.drop("sig")
-    members = materialise(spark, groups.join(sizes, "root").join(slim, "node"), "members")
-    links = verified(spark, docs, members, doc_id=doc_id, text=text, threshold=threshold, block=block)
+    sizes = materialise(spark, groups.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+    members = materialise(spark, groups.join(sizes, "root").join(nodes.drop("doc_id"), "node"), "members")
+    links = verified(spark, docs, members, doc_id=doc_id, text=text, **bands_and, block=block)
+    used_up(spark, edges, groups, sizes, members)
     classes = connected_components(spark, links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = materialise(spark, classes.withColumnRenamed("root", "class_key"), "classes")
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    known = slim.join(classes, "node", "left").join(counted, "node", "left")
+    known = nodes.drop("sig", "dk").join(classes, "node", "left").join(counted, "node", "left")
     known = known.select("node", "doc_id", F.coalesce("class_key", "node").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = materialise(spark, known, "known")
-    least = bounded_broadcast(materialise(spark, known.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "least-ids"))
-    known = known.drop("doc_id").join(least, "class_key")
-    out = drawn.select("doc_id", "dk", "node").join(known, "node", "left")
-    alone = F.col("class_key").isNull()
-    return out.select("doc_id", "dk", "class_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    least = materialise(spark, known.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "least-ids")
+    told = materialise(spark, known.drop("doc_id").join(least, "class_key"), "told")
+    used_up(spark, nodes, links, classes, known, least)
+    drawn = drawn.select("doc_id", "dk", "node")
+    out = drawn.where("node IS NOT NULL").join(told, "node").select("doc_id", "dk", "class_key", "class_id", F.col("n_links").cast("long").alias("n_links"))
+    none = drawn.where("node IS NULL").select("doc_id", "dk", F.lit(None).cast("binary").alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(none)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
-    """``docs`` with one row of each class: that of the least id (then text); rows without words all stay."""
+    """``docs`` with one row of each class: that of the least id (then text); rows without words all stay. Only texts
+    that may go, or repeat, by a sieve of their keys, are shuffled."""
     joined = materialise(spark, jaccard_join(spark, docs, doc_id=doc_id, text=text, **options).where("class_key IS NOT NULL"), "joined")
     best = joined.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "dk"))["dk"].alias("kept"))
-    best = bounded_broadcast(materialise(spark, best, "best"))
+    best = materialise(spark, best, "best")
     lost = materialise(spark, joined.join(best, "class_key").where(F.col("dk") != F.col("kept")).select("dk").distinct(), "lost")
     twice = joined.groupBy("dk").count().where("count > 1").select("dk")
     twice = materialise(spark, twice.join(lost, "dk", "left_anti"), "twice")
-    d = docs.withColumn("__dk", row_key(doc_id, text))
-    drop = lambda d, x, how: d.join(bounded_broadcast(x.withColumnRenamed("dk", "__dk")), "__dk", how)
-    d = drop(d, lost, "left_anti")
+    used_up(spark, joined, best)
+    either = lost.unionByName(twice)
+    d = sifted(docs.withColumn("__dk", row_key(doc_id, text)), "__dk", sieve(spark, either, "lost"))
+    asked = d.where("__may").join(either.withColumnRenamed("dk", "__dk"), "__dk", "left_anti")
+    out = d.where("NOT __may").unionByName(asked)
     if twice.count():  # repeated rows of what is kept
-        d = drop(d, twice, "left_anti").unionByName(drop(d, twice, "left_semi").dropDuplicates(["__dk"]))
-    return d.select(*docs.columns)
+        out = out.unionByName(d.where("__may").join(twice.withColumnRenamed("dk", "__dk"), "__dk", "left_semi").dropDuplicates(["__dk"]))
+    return out.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
