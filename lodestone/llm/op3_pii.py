@@ -23,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise
+from ..operators.matching import all_matches
+from .common import materialise, row_key, sieve, sifted, used_up
 
 KINDS = ("email", "ip", "card", "phone")
+TERMS = "array<struct<start:int,end:int,action:string>>"
 SIGN, DOT = "\ufdd0", "\ufdd1"
 SURPRISE = 4.6
 GENERALISE = 0.7
@@ -36,7 +38,7 @@ LOCAL = rf"[A-Za-z0-9._%+\-{DOT}]"
 PATTERNS = {
     # possessive, and only from the start of a run or the end of the last match: any other start fails likewise
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]+{DOT}[A-Za-z0-9\-{DOT}]*",
-    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # a whole run of digits and marked signs, if it has 13 to 19 digits
     "card": rf"(?<![0-9{SIGN}])[0-9](?:{SIGN}?[0-9]){{12,18}}(?![0-9{SIGN}])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -44,23 +46,6 @@ PATTERNS = {
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 
 
-def matches(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start, end, value>> of all matches: the lengths of what lies between them give the offsets."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    values = F.regexp_extract_all(text, F.concat(F.lit("("), pattern, F.lit(")")), 1)
-    gaps = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    # zipped, as an expression inside the step would be worked out anew for each match
-    both = F.filter(F.zip_with(values, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap"))), lambda x: x["value"].isNotNull())
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
-
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-
-
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -81,51 +66,49 @@ CHECKS = {
 }
 
 
+def mail_view(text: Column) -> Column:
+    """The text with a stand-in for dots between label characters, at equal length."""
+    return F.regexp_replace(F.translate(text, SIGN + DOT, "||"), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT)
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """For each kind, array<struct<start, end, value>> of the spans in a text that is not null."""
     plain = F.translate(text, SIGN + DOT, "||")
     view = {
-        "email": F.regexp_replace(plain, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT),
+        "email": mail_view(text),
         "ip": text,
         "card": F.regexp_replace(plain, r"(?<=[0-9])[\x20-](?=[0-9])", SIGN),
         "phone": text,
     }
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     seen = {k: F.contains(text, F.lit("@")) if k == "email" else F.rlike(text, F.lit(GUARDS[k])) for k in KINDS}
-    passed = lambda k: F.filter(matches(view[k], PATTERNS[k]), lambda s: CHECKS[k](s["value"]))
+    passed = lambda k: F.filter(all_matches(view[k], PATTERNS[k]), lambda s: CHECKS[k](s["value"]))
     return {k: F.when(seen[k], passed(k)).otherwise(none) for k in KINDS}
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with blanks for e-mail addresses, at equal length; the other kinds hold no letters."""
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        more = F.array(F.substr(text, acc["at"] + 1, c["start"] - acc["at"]), F.repeat(F.lit(" "), c["end"] - c["start"]))
-        return F.struct(c["end"].alias("at"), F.concat(acc["out"], more).alias("out"))
-
-    mails = F.filter(spans, lambda x: x["kind"] == "email")
-    whole = F.aggregate(mails, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(mails) > 0, whole).otherwise(text)
+def masked(text: Column) -> Column:
+    """The text with blanks for e-mail addresses, at equal length; the other kinds hold no letters. (Dots between label
+    characters are stand-ins, which matters to no term.)"""
+    view, pattern = mail_view(text), F.lit(PATTERNS["email"])
+    values = F.regexp_extract_all(view, F.concat(F.lit("("), pattern, F.lit(")")), 1)
+    parts = F.zip_with(F.split(view, pattern, -1), values, lambda g, v: F.concat(g, F.coalesce(F.repeat(F.lit(" "), F.length(v)), F.lit(""))))
+    return F.when(F.contains(text, F.lit("@")), F.array_join(parts, "")).otherwise(text)
 
 
 def find(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id") -> DataFrame:
     """(dk, tk, spans, forms) of every row, written out; dk tells rows apart by id and text, tk texts. A span has kind,
-    start, end and the entity; forms are the different terms of the whole text outside of e-mail addresses."""
-    d = docs.select(doc_key(doc_id, text).alias("dk"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    start, end and the entity (numbers by their digits); forms are the different terms of the whole text outside of
+    e-mail addresses."""
+    d = docs.select(row_key(doc_id, text).alias("dk"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     d = d.select("dk", "t", *(c.alias(k) for k, c in base_spans(F.col("t")).items()))
 
     def dress(kind: str) -> Column:
-        entity = lambda s: F.concat(F.lit(kind + ":"), F.lower(F.substr("t", s["start"] + 1, s["end"] - s["start"])))
-        return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), entity(s).alias("entity")))
-
-    d = d.select("dk", "t", F.concat(*map(dress, KINDS)).alias("spans"))
-    forms = F.array_distinct(F.regexp_extract_all(masked(F.col("t"), F.col("spans")), F.lit(TERM), 0))
-    return materialise(spark, d.select("dk", F.xxhash64("t").alias("tk"), "spans", forms.alias("forms")), "pii")
-
+        value = {"email": lambda v: F.lower(F.translate(v, DOT, ".")), "ip": lambda v: v}.get(kind, digits)
+        return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(kind + ":"), value(s["value"])).alias("entity")))
 
-def doc_key(doc_id="doc_id", text="text") -> Column:
-    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    without = F.when(F.contains("t", F.lit("@")), F.regexp_replace(mail_view(F.col("t")), PATTERNS["email"], " ")).otherwise(F.col("t"))
+    forms = F.array_distinct(F.regexp_extract_all(without, F.lit(TERM), 0))
+    return materialise(spark, d.select("dk", F.xxhash64("t").alias("tk"), F.concat(*map(dress, KINDS)).alias("spans"), forms.alias("forms")), "pii")
 
 
 def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, generalise=GENERALISE, remove=REMOVE) -> DataFrame:
@@ -141,7 +124,7 @@ def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, gen
     plain = F.broadcast(commonest(df).where(F.col("df_term") > most).select("term"))
     pairs = held.select("tk", "entity", F.explode(terms).alias("term")).join(plain, "term", "left_anti")
     pairs = pairs.groupBy("entity", "term", "tk").agg(F.count("*").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("df_pair"), F.count("*").alias("texts"))
-    pairs = materialise(spark, pairs, "pii-pairs")
+    pairs = pairs_made = materialise(spark, pairs, "pii-pairs")
     tried = float(max(pairs.count(), 1))
     pairs = pairs.join(df, "term").join(entities, "entity")
     ic = F.log(F.lit(n) / F.col("df_entity"))
@@ -156,12 +139,14 @@ def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, gen
     own = held.select("dk", "entity", F.explode("forms").alias("form")).withColumn("term", F.lower("form")).join(plain, "term", "left_anti")
     own = own.join(telling.hint("merge"), ["entity", "term"]).select("dk", "form", "action")
     wide = materialise(spark, telling.where("wide").groupBy("term").agg(F.max("action").alias("action")), "pii-wide")
-    # words that are common and disclose nothing, most of all text, need not be dealt out
-    dull = F.broadcast(commonest(df).join(wide, "term", "left_anti").select("term"))
-    words = found.select("dk", F.explode("forms").alias("form")).withColumn("term", F.lower("form")).join(dull, "term", "left_anti")
-    hits = own.unionByName(words.join(bounded_broadcast(wide), "term").select("dk", "form", "action"))
+    # words that surely disclose nothing, most of all text, need not be dealt out
+    bits = sieve(spark, wide.select("term"), "wide")
+    words = sifted(found.select("dk", F.explode("forms").alias("form")).withColumn("term", F.lower("form")), "term", bits).where("__may")
+    hits = own.unionByName(words.join(wide, "term").select("dk", "form", "action"))
     hits = hits.groupBy("dk", "form").agg(F.max("action").alias("action")).groupBy("dk").agg(F.map_from_entries(F.collect_list(F.struct("form", "action"))).alias("hits"))
-    return materialise(spark, hits, "pii-hits")
+    hits = materialise(spark, hits, "pii-hits")
+    used_up(spark, df, entities, pairs_made, telling, wide, bits)
+    return hits
 
 
 def commonest(df: DataFrame) -> DataFrame:
@@ -171,20 +156,23 @@ def commonest(df: DataFrame) -> DataFrame:
 
 
 def mark(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id", **options) -> DataFrame:
-    """``docs`` with __spans (the base spans) and __terms (start, end and action of disclosing terms)."""
+    """``docs`` with __spans (the base spans) and __terms (start, end and action of disclosing terms). Only texts that may
+    have some, by a sieve of their keys, are shuffled to them."""
     found = find(spark, docs, text=text, doc_id=doc_id)
     hits = disclosures(spark, found, **options)
     base = found.where(F.size("spans") > 0).select("dk", "spans", F.lit(None).cast("map<string,string>").alias("hits"))
     both = base.unionByName(hits.select("dk", F.lit(None).cast(base.schema["spans"].dataType).alias("spans"), "hits"))
     both = both.groupBy(F.col("dk").alias("__dk")).agg(F.first("spans", True).alias("__spans"), F.first("hits", True).alias("__hits"))
     both = materialise(spark, both, "pii-marks")
-    none = F.array().cast(base.schema["spans"].dataType)
-    both = bounded_broadcast(both, weight=F.size(F.coalesce("__spans", none)) + F.coalesce(F.size(F.map_keys("__hits")), F.lit(0)))
-    d = docs.withColumn("__dk", doc_key(doc_id, text)).join(both, "__dk", "left").withColumn("__spans", F.coalesce("__spans", none))
+    used_up(spark, found, hits)
+    none, no_terms = F.array().cast(base.schema["spans"].dataType), F.array().cast(TERMS)
+    d = sifted(docs.withColumn("__dk", row_key(doc_id, text)), "__dk", sieve(spark, both.select("__dk"), "marks"))
+    plain = d.where("NOT __may").withColumn("__spans", none).withColumn("__terms", no_terms)
+    d = d.where("__may").join(both, "__dk", "left").withColumn("__spans", F.coalesce("__spans", none))
     some = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("__hits"), "|"), F.lit(r")(?!\p{L})"))
-    terms = F.transform(matches(masked(F.col(text), F.col("__spans")), some), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.col("__hits")[m["value"]].alias("action")))
-    none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    return d.withColumn("__terms", F.when(F.col("__hits").isNotNull(), terms).otherwise(none)).drop("__dk", "__hits")
+    terms = F.transform(all_matches(masked(F.col(text)), some), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.col("__hits")[m["value"]].alias("action")))
+    d = d.withColumn("__terms", F.when(F.col("__hits").isNotNull(), terms).otherwise(no_terms)).drop("__hits")
+    return d.unionByName(plain).drop("__dk", "__may")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id", **options) -> DataFrame:
@@ -192,16 +180,15 @@ def sanitise(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_i
     d = mark(spark, docs, text=text, doc_id=doc_id, **options)
     base = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
     term = F.transform("__terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", F.lit("")).otherwise(F.lit("[TERM]")).alias("put")))
-    d = d.withColumn("__cuts", F.array_sort(F.concat(base, term)))
     none = F.array().cast("array<struct<start:int,end:int,put:string>>")
-    # of overlapping spans the first stands
+    # of overlapping base spans the first stands; terms overlap nothing
     apart = F.aggregate(
-        F.col("__cuts"),
+        F.array_sort(base),
         F.struct(F.lit(0).alias("at"), none.alias("out")),
         lambda acc, c: F.when(c["start"] >= acc["at"], F.struct(c["end"].alias("at"), F.concat(acc["out"], F.array(c)).alias("out"))).otherwise(acc),
         lambda acc: acc["out"],
     )
-    d = d.withColumn("__cuts", apart)
+    d = d.withColumn("__cuts", F.array_sort(F.concat(apart, term)))
     last = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__cuts", i - 1)["end"])
     pieces = F.transform(F.col("__cuts"), lambda c, i: F.concat(F.substr(text, last(i) + 1, c["start"] - last(i)), c["put"]))
     tail = F.substr(F.col(text), F.element_at("__cuts", -1)["end"] + 1)
@@ -214,5 +201,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     terms = F.transform("__terms", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     of = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    out = out.select("doc_id", *map(of, KINDS), shown(F.col("__spans")).alias("base"), shown(terms).alias("more"))
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif("more", F.lit(""))).alias("spans"))
+    counts = [F.size("__terms").cast("long").alias("n_term"), (F.size("__spans") + F.size("__terms")).cast("long").alias("n_spans")]
+    out = out.select("doc_id", *map(of, KINDS), *counts, shown(F.col("__spans")).alias("base"), shown(terms).alias("more"))
+    spans = F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif("more", F.lit(""))).alias("spans")
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), spans, "n_term", "n_spans")
