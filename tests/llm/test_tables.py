@@ -171,15 +171,15 @@ def test_wav_round_trip():
 # --- search
 
 
-@pytest.mark.parametrize(("block", "chunk", "pivots"), [(4096, 1024, 128), (7, 3, 5)])
-def test_search(spark, block, chunk, pivots):
+@pytest.mark.parametrize(("block_bytes", "pivots", "scale"), [(1 << 22, 4096, 1), (1100, 5, 1), (1 << 22, 40, 1e4), (1100, 9, 1e6), (1 << 22, 9, 1e9), (1 << 22, 5, 1e200)])
+def test_search(spark, block_bytes, pivots, scale):
     from pyspark.sql import functions as F
 
     rng = np.random.default_rng(2)
-    good = [(k, (rng.normal(0, 1, 8) * (1 + k % 3)).tolist()) for k in range(200)] + [(k, [0.5] * 8) for k in range(200, 260)]
+    good = [(k, (rng.normal(0, 1, 8) * (1 + k % 3) * scale).tolist()) for k in range(200)] + [(k, (np.ones(8) * scale / 2 + (k % 3) / 256).tolist()) for k in range(200, 260)]
     odd = [(300, None), (301, [None] + [1.0] * 7), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (None, [1.0] * 8), (350, [1.0, 2.0]), (351, [2.0, 1.0]), (5, [-9.0] * 8), (400, [])]
     v = spark.createDataFrame([(*r, "x") for r in good + odd], "vec_id long, embedding array<double>, grp string")
-    got = sorted(map(tuple, op8_knn.top_k(spark, v, F.col("vec_id") % 50 == 0, block=block, chunk=chunk, max_pivots=pivots).collect()))
+    got = sorted(map(tuple, op8_knn.top_k(spark, v, F.col("vec_id") % 50 == 0, block_bytes=block_bytes, max_pivots=pivots).collect()))
     kept = {}
     for i, x in good + odd:
         if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x):
@@ -188,8 +188,8 @@ def test_search(spark, block, chunk, pivots):
     want = []
     for i, q in kept.items():
         if i % 50 == 0:
-            s = sorted((-int(np.dot(q, x)), j) for j, x in kept.items() if j != i and len(x) == len(q))[:5]
-            want += [(i, r, j, -n) for r, (n, j) in enumerate(s, 1)]
+            s = sorted((-sum(int(a) * int(b) for a, b in zip(q, x, strict=True)), j) for j, x in kept.items() if j != i and len(x) == len(q))[:5]
+            want += [(i, r, j, max(-(2**63), min(2**63 - 1, -n))) for r, (n, j) in enumerate(s, 1)]
     assert got == sorted(want)
 
 
