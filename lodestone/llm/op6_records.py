@@ -4,12 +4,13 @@ A record is: 8 bytes length, 4 bytes masked checksum of those, the payload, 4 by
 little-endian. The checksum is zlib's crc32, masked by rotating it right by 15 bits and adding a constant, so that
 checksums of data that hold checksums stay sound. The payload is a flag byte (1: the id is null), the id as a signed
 64-bit integer, and the token ids at the width of the vocabulary (2 bytes up to 65,536 ids, else 4). The index has, for
-each record: document id, byte offset, ids before it in its file (8 bytes each), number of ids (4 bytes); a reader can
-take records in any order from it.
+each record: the flag (1 byte), document id, byte offset, ids before it in its file (8 bytes each), number of ids (4
+bytes). ``read_index`` gives the entries of all files as rows, ``fetch`` takes records from them in any order by seeking.
 
 Files are in ascending order of document id (null first, repeats by text), one for each range partition. A task writes
 under a name of its own, so a lost or repeated task leaves at most an orphan file: only those in the manifest, made of
-the tasks that counted, are read. Null and empty texts: the end id alone. Empty table: no files, no rows.
+the tasks that counted, are read. Null and empty texts: the end id alone. Whole texts are encoded, however long. Empty
+table: no files, no rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh_path, small_batches
+from .common import fresh_path, sliced
 
 MASK = 0xA282EAD8
 END_ID = 1
 CACHE = 600_000
 #: Latin letters, then signs that no rule of the splitter starts with.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*&%$#|)\]]*)")
-FRAME, PRE, INDEX = "<QI", "<Bq", "<qQQI"
+FRAME, PRE, INDEX = "<QI", "<Bq", "<BqQQI"
 WROTE = "shard long, name string, docs long, ids long"
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -145,7 +146,7 @@ def writer(folder: str, tokenizer: str, end_id: int):
         docs = ids = at = 0
         end = struct.pack(enc.code, end_id)
         try:
-            for batch in batches:
+            for batch in sliced(batches):
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                     if out is None:
                         out, index = store.open_output_stream(f"{root}/{name}.rec", buffer_size=1 << 20), store.open_output_stream(f"{root}/{name}.idx", buffer_size=1 << 18)
@@ -153,7 +154,7 @@ def writer(folder: str, tokenizer: str, end_id: int):
                     n = len(data) // enc.width
                     record = frame(struct.pack(PRE, doc_id is None, doc_id or 0) + data)
                     out.write(record)
-                    index.write(struct.pack(INDEX, doc_id or 0, at, ids, n))
+                    index.write(struct.pack(INDEX, doc_id is None, doc_id or 0, at, ids, n))
                     docs, ids, at = docs + 1, ids + n, at + len(record)
         finally:
             if out is not None:
@@ -167,7 +168,6 @@ def writer(folder: str, tokenizer: str, end_id: int):
 
 def write_records(spark: SparkSession, docs: DataFrame, folder: str, *, tokenizer: str, end_id=END_ID, doc_id="doc_id", text="text") -> list[dict]:
     """Encode and write; returns the manifest (one entry a file: name, docs, ids, and the ids of all files before)."""
-    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -211,6 +211,54 @@ def read_records(spark: SparkSession, folder: str, manifest: list[dict], width:
     return files.repartition(max(1, len(manifest))).mapInArrow(run, OUT)
 
 
+ENTRY = "name string, doc_id long, offset long, start long, n_tokens long"
+
+
+def read_index(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
+    """(name, doc_id, offset, start, n_tokens) of every record, from the index files alone; start counts over all files."""
+    schema = pa.schema([("name", pa.string()), *((c, pa.int64()) for c in ("doc_id", "offset", "start", "n_tokens"))])
+
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, at in zip(batch["name"].to_pylist(), batch["start"].to_pylist(), strict=True):
+                with store.open_input_stream(f"{root}/{name}.idx", buffer_size=1 << 18) as f:
+                    while part := f.read(4096 * struct.calcsize(INDEX)):
+                        rows = [(name, None if null else doc_id, offset, at + before, n) for null, doc_id, offset, before, n in struct.iter_unpack(INDEX, part)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    files = spark.createDataFrame([(m["name"], m["start"]) for m in manifest], "name string, start long")
+    return files.repartition(max(1, len(manifest))).mapInArrow(run, ENTRY)
+
+
+def fetch(spark: SparkSession, folder: str, entries: DataFrame, width: int) -> DataFrame:
+    """``entries`` of the index, in the order and partitions they come in, with their ids, read at their offsets."""
+    import numpy as np
+
+    kind = {2: "<u2", 4: "<u4"}[width]
+    d = entries.select("name", "doc_id", "offset", "start", "n_tokens")
+
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        held: dict[str, object] = {}
+        try:
+            for batch in sliced(batches):
+                ids = []
+                for name, offset in zip(batch["name"].to_pylist(), batch["offset"].to_pylist(), strict=True):
+                    if name not in held:
+                        if len(held) >= 64:
+                            held.pop(next(iter(held))).close()
+                        held[name] = store.open_input_file(f"{root}/{name}.rec")
+                    held[name].seek(offset)
+                    ids.append(np.frombuffer(unframe(held[name]), kind, offset=struct.calcsize(PRE)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
+        finally:
+            for f in held.values():
+                f.close()
+
+    return d.mapInArrow(run, ENTRY + ", ids array<int>")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
