@@ -8,7 +8,8 @@ checks them and computes what goes beside a digest.
 
 Null and empty HTML: no items. Broken markup is read as far as it goes; text inside script, style and template is not
 text of the document. A reference with another address than ``sha256:<hex>`` or without a payload stays unresolved. A
-digest that several rows store is one payload. Empty tables: no rows.
+digest that several rows store is one payload. Whole pages and payloads are read, however long. Repeated rows are pages of
+their own. Columns of pages go along, but one named ``items`` is replaced. Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, small_batches, with_fields
+from .common import materialise, sliced, with_fields
 
 ITEMS = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>"
 SILENT = {"script", "style", "template", "head"}
@@ -93,13 +94,12 @@ def sequence(html: str | None) -> list[dict]:
 
 def interleave(spark: SparkSession, pages: DataFrame, html="html") -> DataFrame:
     """``pages`` with ``items`` in place of ``html``."""
-    small_batches(spark)
     kept = [c for c in pages.columns if c not in (html, "items")]
     d = pages.select(*kept, F.col(html).alias("__html"))
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 256):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([sequence(h) for h in batch["__html"].to_pylist()], kind)], [*kept, "items"])
 
     return d.mapInArrow(run, with_fields(d.select(*kept).schema, items=ITEMS))
@@ -140,10 +140,9 @@ def feature(samples: bytes) -> str:
 
 def store_samples(spark: SparkSession, payloads: DataFrame) -> DataFrame:
     """(digest, payload) to stored (digest, media), written to the shared folder; what is returned reads the files."""
-    small_batches(spark, 256)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 256):
             yield pa.RecordBatch.from_arrays([batch["digest"], pa.array([wav(b) for b in batch["payload"].to_pylist()], pa.binary())], ["digest", "media"])
 
     return materialise(spark, payloads.select("digest", "payload").mapInArrow(run, "digest string, media binary"), "media")
@@ -153,7 +152,7 @@ def read_samples(spark: SparkSession, stored: DataFrame) -> DataFrame:
     """What the stored bytes hold, by digest."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 256):
             rows = []
             for digest, media in zip(batch["digest"].to_pylist(), batch["media"].to_pylist(), strict=True):
                 p = unwav(media)
@@ -164,19 +163,42 @@ def read_samples(spark: SparkSession, stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(run, STORED)
 
 
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text becomes a payload and a page that shows it; the pages' references are resolved to the stored bytes."""
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    """Each text becomes a payload, and a page that shows it between its first line and all the others; the pages'
+    references are resolved to the stored bytes. ``pos`` is the place of the reference among the items of its page."""
+    text, name = F.coalesce(F.col("text"), F.lit("")), escaped(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
+    raw = text.cast("binary")
     n = F.length(raw).cast("long")
     pad = F.greatest(F.lit(64), F.ceil(n / 64).cast("long") * 64) - n
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", n.alias("n_bytes"), F.concat(raw, F.unhex(F.repeat(F.lit("00"), pad.cast("int")))).alias("payload"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("text"), n.alias("n_bytes"), F.concat(raw, F.unhex(F.repeat(F.lit("00"), pad.cast("int")))).alias("payload"))
     docs = docs.withColumn("digest", F.sha2("payload", 256))
     stored = store_samples(spark, docs)
-    html = F.concat(F.lit("<figure><img src='sha256:"), F.col("digest"), F.lit("'><figcaption>document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit("</figcaption></figure>"))
+    lead = F.substring_index("text", "\n", 1)
+    rest = F.substr("text", F.length(lead) + 1)
+    figure = F.concat(F.lit("<figure><img src='sha256:"), F.col("digest"), F.lit("'><figcaption>document "), name, F.lit("</figcaption></figure>"))
+    html = F.concat(F.lit("<article><h1>"), name, F.lit("</h1><p>"), escaped(lead), F.lit("</p>"), figure, F.lit("<p>"), escaped(rest), F.lit("</p></article>"))
     pages = interleave(spark, docs.select("doc_id", "n_bytes", html.alias("html")))
     return resolve(pages, read_samples(spark, stored)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
 
 
+def resolved_pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages``, each with a figure at the head of its article that refers to a payload (the bytes of its address): the
+    references of whole pages, resolved."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.coalesce("url", F.lit("")).cast("binary").alias("payload"))
+    pages = pages.withColumn("digest", F.sha2("payload", 256))
+    stored = store_samples(spark, pages)
+    mark = F.locate("<article>", F.col("html"))
+    cut = F.when(mark > 0, mark + 8).otherwise(F.length("html"))  # right behind it, else at the end
+    figure = F.concat(F.lit("<figure><img src='sha256:"), F.col("digest"), F.lit("'><figcaption>page "), F.col("page_id").cast("string"), F.lit("</figcaption></figure>"))
+    html = F.concat(F.substr("html", F.lit(1), cut), figure, F.substr("html", cut + 1))
+    items = interleave(spark, pages.select("page_id", html.alias("html")))
+    return resolve(items, read_samples(spark, stored)).select("page_id", "pos", "caption", "payload_bytes", "payload_sha256")
+
+
 def pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequences of ``pages``: one row an item, in order."""
     out = interleave(spark, spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": op4_language.query,
     "op5_media": op5_media.query,
     "media_page_items": op5_media.pages_query,
+    "media_pages_resolved": op5_media.resolved_pages_query,
     "op6_binary_records": op6_records.query,
     "op7_mixing": op7_mixing.query,
     "op8_voronoi_knn": op8_knn.query,
