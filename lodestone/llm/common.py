@@ -86,8 +86,3 @@ def keyed_runs(batches, key: str):
                 start = i
     if held:
         yield at, pa.Table.from_batches(held)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts can be long: keep Arrow batches to Python small, whatever the default is."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

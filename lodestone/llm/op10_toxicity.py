@@ -8,7 +8,10 @@ summed weights, normalised by the length of the text, go through a logistic curv
 
 Learned from at most ``max_train_rows`` labelled rows (in expectation, by a hash of the id) of the training folds;
 labels, language, source and id are never inputs. Null, empty and wordless texts match nothing and get the score of no
-match. Repeated rows get equal scores. Without labels of both kinds the given lexicon and a fixed curve are used.
+match. Repeated rows get equal scores. Without labels of both kinds the given lexicon and a fixed curve are used. Whole
+texts are matched, however long. Ties: of terms with equal counts the first by name is learned, of matches at one place
+the longest counts, of near copies in the sample the least text. Empty tables: no rows to score, the given lexicon. A
+column ``toxicity`` of the caller is replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_share, held_out, small_batches, with_fields
+from .common import WORD, hash_share, held_out, sliced, with_fields
 
 MAX_TRAIN_ROWS = 20_000
 MAX_TERMS = 4_000
@@ -102,7 +105,6 @@ def _terms(text: str) -> set[str]:
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, *, max_train_rows=MAX_TRAIN_ROWS, lexicon=LEXICON, exceptions=EXCEPTIONS) -> Model:
     """Lexicon and curve from (doc_id, text) and (doc_id, label)."""
-    small_batches(spark)
     train = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
     n = train.count()
     if n:
@@ -110,16 +112,16 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, *
     rows = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id").select("text", "y")  # two numbers for each of max_train_rows rows
 
     def fold_rows(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [folded(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch["y"], pa.array([_sketch(t) for t in texts], pa.int64())], ["text", "y", "sketch"])
 
     # copies of one text would make all its words look telling
-    rows = rows.mapInArrow(fold_rows, "text string, y int, sketch long").dropDuplicates(["sketch", "y"]).select("text", "y").persist()
+    rows = rows.mapInArrow(fold_rows, "text string, y int, sketch long").groupBy("sketch", "y").agg(F.min("text").alias("text")).select("text", "y").persist()
 
     def count(batches):
         sums = Counter(), Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
                 sums[y > 0].update(_terms(text))
                 sums[y > 0].update([""])
@@ -150,7 +152,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, *
     shared = spark.sparkContext.broadcast(model)  # MAX_TERMS terms and the given ones
 
     def densities(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([shared.value.density(t) for t in batch["text"].to_pylist()], pa.float64()), batch["y"]], ["d", "y"])
 
     got = rows.mapInArrow(densities, "d double, y int").toArrow()  # max_train_rows at most
@@ -170,12 +172,11 @@ def _curve(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, text="text") -> DataFrame:
     """``docs`` with ``toxicity``; an existing column of that name is replaced."""
-    small_batches(spark)
     d = docs.drop("toxicity")
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([shared.value.score(t) for t in batch[text].to_pylist()], pa.float64())], [*batch.schema.names, "toxicity"])
 
     return d.mapInArrow(run, with_fields(d.schema, toxicity="double"))

@@ -7,7 +7,9 @@ solved as a ridge regression on the driver; isotonic regression turns its scores
 Learned from at most ``max_train_rows`` labelled rows (in expectation, chosen by a hash of the id) of the training
 folds; labels, language, source and id are never inputs. Null and empty texts have the statistics of an empty text and
 get a score like any other. Rows of labels with a null label are not learned from; repeated ones count repeatedly.
-Without labels of both kinds every score is 0.5. Repeated rows get equal scores. Empty table: no rows.
+Without labels of both kinds every score is 0.5. Repeated rows get equal scores. Whole texts are read, however long. Equal
+raw scores share a step of the calibration. Empty tables: no rows to score, scores of 0.5. Further columns of documents are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_share, held_out, materialise, small_batches, with_fields
+from .common import hash_share, held_out, materialise, sliced, with_fields
 
 MAX_TRAIN_ROWS = 50_000
 FEATURES = 384
@@ -81,10 +83,9 @@ def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def document_statistics(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id") -> DataFrame:
     """(doc_id, x): the statistics of every text, written out."""
-    small_batches(spark)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = [statistics(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(got, pa.list_(pa.float32()))], ["doc_id", "x"])
 
@@ -109,7 +110,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, *, max_train_rows=MAX_T
 
     def sums(batches):
         total = 0
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 z = model.features(np.array(batch["x"].to_pylist(), float))
                 total = total + z.T @ np.hstack([z, batch["y"].to_numpy()[:, None]])
@@ -120,7 +121,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, *, max_train_rows=MAX_T
     model.weights = np.linalg.solve(total[:, :-1] + RIDGE * total[:, :-1].trace() / len(total) * np.eye(len(total)), total[:, -1])
 
     def scores(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(model.raw(np.array(batch["x"].to_pylist(), float))), batch["y"]], ["s", "y"])
 
@@ -135,7 +136,7 @@ def score(spark: SparkSession, stats: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # a fixed size
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array(batch["x"].to_pylist(), float).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(shared.value.score(x) if len(x) else [], pa.float64())], ["doc_id", "score"])
 
