@@ -23,9 +23,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
-    named = op4_language.identify(spark, docs, op4_language.fit(spark, docs))
-    return named.where(F.col("lang_pred") != "und").select(*docs.columns)
+    """Drops what language identification rejects: null texts, texts without a letter, texts near no language."""
+    own = docs.select(*(F.col(c).alias(f"__{k}") if c.startswith("lang_") else c for k, c in enumerate(docs.columns)))
+    kept = op4_language.identify(spark, own, op4_language.fit(spark, docs)).where(~F.col("lang_rejected"))
+    return kept.select(*(F.col(f"__{k}").alias(c) if c.startswith("lang_") else c for k, c in enumerate(docs.columns)))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
