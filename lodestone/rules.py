@@ -156,25 +156,86 @@ HEADINGS = (
 )
 CITATION_FEATURES = (r"\((19|20)\d{2}\)", r"\b(19|20)\d{2}[a-z]?\b", r"(?i)doi:", r"(?i)et al", r"^\s*\[\d+\]", r"^\s*\d+\.\s", r"[A-Z]\.")
 AVAILABILITY_HEADER = r"(?i)(?:(?:data|code|software|materials)\s*(?:and\s+materials\s*)?availab(?:ility|le)|data\s*deposition)[\s.:;]*"
-AVAILABILITY_WORDS = (
-    r"(?i)\b(?:(?:data\s+and\s+materials|data|code)\s+availability|underlying\s+data|source\s+(?:data|code)|generated|produced|collected|submitted|"
-    r"deposited|released|archived|data\s+release|provided\s+by|available\s+(?:at|in|from)|can\s+be\s+found|are\s+(?:provided|included)|hosted|"
-    r"datasets?|data\s+set|accession|availability)\b"
-)
-REPOSITORY_NAMES = (
-    r"(?i)\b(?:zenodo|figshare|dryad|github|gitlab|GBIF|AlphaFold(?:\sDB)?|ArrayExpress|BioImage\sArchive|bia|BioModels|(?:NCBI\s)?Bio(?:Project|Sample)|"
-    r"BRaunschweig\sENzyme\sDAtabase|BRENDA(?:\senzyme)?|BTO|cath(?:-Gene3D)?|Cellosaurus|ChEBI|ChEMBL|ClinicalTrials\.gov|ComplexPortal|Coriell|"
-    r"database\sof\sgenotypes\sand\sphenotypes|dbgap|dbSNP|ebi\smetagenomics|EBiSC|EMBL|EMDB|EMPIAR|Ensembl|European\sGenome-phenome\sArchive|EGA|"
-    r"European\sNucleotide\sArchive|EudraCT|Gene\sExpression\sOmnibus|GEO|Gene\sOntology|GenBank|gisaid|gxa|HipSci|HUGO\sGene\sNomenclature\sCommittee|"
-    r"hgnc|IntAct|InterPro|MetaboLights|molecular\sinteraction\sdatabase|MINT|Orphanet|Orphadata|ORPHA|Pangaea|Pfam|Protein\sData\sBank|PDB|"
-    r"ProteomeXchange|PRIDE|Reactome|Reference\sSequence|RefSeq|rhea|RNAcentral|swiss-prot|swiss\sprot|UniProtKB|TrEMBL|UniProt|Sprot|uniparc|TreeFam|"
-    r"1000\sGenomes)\b"
-)
+# Words of sentences about the availability of data, then names of repositories
+AVAILABILITY_TERMS = (
+    r"data\s+and\s+materials\s+availability", r"data\s+availability", r"code\s+availability",
+    r"underlying\s+data", r"source\s+data", r"source\s+code", r"generated", r"produced", r"collected",
+    r"submitted", r"deposited", r"released", r"archived", r"data\s+release",
+    r"provided\s+by", r"available\s+at", r"available\s+in", r"available\s+from", r"can\s+be\s+found", r"are\s+provided", r"are\s+included", r"hosted",
+    r"dataset", r"datasets", r"data\s+set", r"accession", r"availability",
+)
+REPOSITORY_TERMS = (
+    r"zenodo", r"figshare", r"dryad", r"github", r"gitlab", r"GBIF",
+    r"AlphaFold\sDB", r"AlphaFold", r"ArrayExpress", r"BioImage\sArchive", r"bia", r"BioModels", r"NCBI\sBioProject", r"BioProject", r"NCBI\sBioSample", r"BioSample",
+    r"BRaunschweig\sENzyme\sDAtabase", r"BRENDA\senzyme", r"BRENDA", r"BTO", r"cath-Gene3D", r"cath", r"Cellosaurus", r"ChEBI", r"ChEMBL", r"ClinicalTrials\.gov",
+    r"ComplexPortal", r"Coriell", r"database\sof\sgenotypes\sand\sphenotypes", r"dbgap", r"dbSNP", r"ebi\smetagenomics", r"EBiSC", r"EMBL", r"EMDB", r"EMPIAR", r"Ensembl",
+    r"European\sGenome-phenome\sArchive", r"EGA", r"European\sNucleotide\sArchive", r"EudraCT", r"Gene\sExpression\sOmnibus", r"GEO", r"Gene\sOntology", r"GenBank", r"gisaid", r"gxa",
+    r"HipSci", r"HUGO\sGene\sNomenclature\sCommittee", r"hgnc", r"IntAct", r"InterPro", r"MetaboLights", r"molecular\sinteraction\sdatabase", r"MINT",
+    r"Orphanet", r"Orphadata", r"ORPHA", r"Pangaea", r"Pfam", r"Protein\sData\sBank", r"PDB", r"ProteomeXchange", r"PRIDE",
+    r"Reactome", r"Reference\sSequence", r"RefSeq", r"rhea", r"RNAcentral", r"swiss-prot", r"swiss\sprot", r"UniProtKB", r"TrEMBL", r"UniProt", r"Sprot", r"uniparc",
+    r"TreeFam", r"1000\sGenomes",
+)
+AVAILABILITY_WORDS = r"(?i)\b(?:" + "|".join(AVAILABILITY_TERMS) + r")\b"
+REPOSITORY_NAMES = r"(?i)\b(?:" + "|".join(REPOSITORY_TERMS) + r")\b"
 PRIMARY_WORDS = (
     r"deposited|accessible|submitted|measured|collected|observed|detected|analyzed|generated|produced|obtained|recorded|sequenced|amplified|isolated|"
     r"vailability|vailable|novel|hosted|raw(?:\s+data)?|supplementary"
 )
 SENTENCE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|!)\s+"
+# Broken links, as (pattern, replacement), applied in this order
+LINK_REPAIRS = (
+    (r"https?://\s*([a-zA-Z0-9\.\-]+)", "https://$1"),
+    (r"(doi\.)\s+(org/10\.)", "$1$2"),
+    (r"doi\.org/\s+10\.", "doi.org/10."),
+    (r"doi\.org/10\.\s*(\d+)", "doi.org/10.$1"),
+    (r"doi\.org/10\.(\d{4,5})/\s+([a-zA-Z0-9\.\-_]+)", "doi.org/10.$1/$2"),
+    (r"(10\.\d{4,5}/[a-zA-Z0-9\.\-/]+\.)\s+([a-z0-9\.\-_/]{4,20},?\s+|(?!(?:DATAS?|RESULTS?|DISCUSSIONS?|REFERENCES?|CONFLICT|ORCID|ACKNOWLEDGMENTS?|References?)\b)[A-Z0-9\.\-_/]{4,20}\s+)", "$1$2"),
+    (r"\n+(https?://doi\.org/[^\s]*)", "$1"),
+    (r"(\(.{0,20}10\.\d{4,}/.{1,30})\s+([A-Za-z0-9]{1,10}\))", "$1$2"),
+    (r"(10\.\d{4,5}/[a-zA-Z0-9\.\-/]+-)\s+([a-zA-Z0-9\.\-_/]+)", "$1$2"),
+    (r"(doi\.org/10\.\d{4,5}/[a-zA-Z0-9\.\-/]+-)\s+([a-zA-Z0-9\.\-_/]+)", "$1$2"),
+    (r"(https://doi\.org/10\.\d{4,5}/[a-zA-Z0-9\.\-/]+-)\s+([a-zA-Z0-9\.\-_/]+)", "$1$2"),
+    (r"(10\.\d{4,5}/[a-zA-Z0-9\.\-/]+-)\s+([a-zA-Z0-9\.\-_/]+)", "$1$2"),
+)
+
+# Links as they stand in round brackets behind a label, and as they repeat
+LABELLED = {
+    "url": (r"https?://[^\s\)]+", r"https?://[^\s\)]+"),
+    "doi": (r"10\.\d{4,}/(?:[-._;/:,A-Z0-9]*(?:\([-._;/:,A-Z0-9]*\)[-._;/:,A-Z0-9]*)*[A-Z0-9]|[-._;/:,A-Z0-9]*[A-Z0-9])", r"10\.\d{4,}/[^\)]+"),
+}
+
+# Headings, entries and first entries of a bibliography, older rule
+LAST_HEADING = r"(?i)\b(?:R\s*E\s*F\s*E\s*R\s*E\s*N\s*C\s*E\s*S|BIBLIOGRAPHY|LITERATURE CITED|WORKS CITED|CITED WORKS|ACKNOWLEDGEMENTS)\b[:\s]*"
+NUMBERED_ENTRY = r"^\s*(?:\[\d+\]|\(\d+\)|\d+\.|\d+\)|\d+(?=\s|$))\s*"
+FIRST_ENTRY = r"^\s*(?:\[1\]|\(1\)|1\.|1\)|1(?=\s|$))"
+
+# Identifier formats of the plain extraction, older set
+SIMPLE_PATTERNS = {
+    "doi": r"(?i)(?:\b|(?<!https://))(?:https://doi\.org/)?(10\.\d{4,}/(?:[-._;/:A-Z0-9]*(?:\([-._;/:A-Z0-9]*\)[-._;/:A-Z0-9]*)*[A-Z0-9]|[-._;/:A-Z0-9]*[A-Z0-9]))",
+    "isbn": r"(\b(?:ISBN(?:-1[03])?:? )?(?=[0-9X]{10}$|(?=(?:[0-9]+[- ]){3})[- 0-9X]{13}$|97[89][0-9]{10}$|(?=(?:[0-9]+[- ]){4})[- 0-9]{17}$)(?:97[89][- ]?)?[0-9]{1,5}[- ]?[0-9]+[- ]?[0-9]+[- ]?[0-9X]\b)",
+    "kegg_like_id": r"(\b[A-Z]\d{5}\b)",
+    "gisaid_id": r"\b(EPI_ISL_\d+|EPI\d+)",
+    "prj_id": r"\b(PRJ[ED]?[A-Z]+\d+)\b",
+    "chembl_id": r"\b(CHEMBL\d+)\b",
+    "interpro_id": r"\b(IPR\d{5,})\b",
+    "pfam_id": r"\b(PF\d{5,})\b",
+    "geo_id": r"\b(GSE\d+)\b",
+    "sra_id": r"\b((?:SR|ER|DR)[RX]\d{7})\b",
+    "srp_id": r"\b(SRP\d{6})\b",
+    "empiar_id": r"\b(EMPIAR-\d{4,7})\b",
+    "ensembl_id": r"\b(ENS[A-Z0-9]+)\b",
+    "refseq_id": r"\b((?:NM|NC|NR|NP|NG|NT|XM|XR|XP|WP|NW|NZ|CP|AP|AC|KX)_?\d+(?:\.\d+)?)\b",
+    "biosample_id": r"\b(SAMN\d+)\b",
+    "proteomexchange_id": r"\b(PXD\d+)\b",
+    "cellosaurus_id": r"\b(CVCL_[A-Z0-9]+)\b",
+    "dbsnp_id": r"\b(rs\d+)\b",
+    "arrayexpress_id": r"\b(E-[A-Z]{3,5}-\d+)\b",
+    "hpa_id": r"\b((?:HPA|CAB)\d+)\b",
+    "uniprot_id": r"\b([A-NR-Z][0-9][A-Z][A-Z0-9]{2}[0-9]|[OPQ][0-9][A-Z0-9]{3}[0-9])\b",
+    "cath_id": r"(\b3\.(?:[1-9]\d{0,2}|0)\.(?:[1-9]\d{0,2}|0)\.(?:[1-9]\d{0,2}|0)\b)",
+}
+
+# Status codes of errors
 ERROR_STATUS = {
     "ORDER_NOT_FOUND": 404,
     "ORDER_ALREADY_LOCKED": 409,
