@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -15,17 +16,20 @@ PATCHABLE = ("order_type", "status", "amount", "currency", "description")
 def amend(orders: DataFrame, patches: DataFrame, now: Column, fields=PATCHABLE) -> DataFrame:
     """Apply sparse patches (order_id, expected_version, user_id, fields): what is not null and differs is taken over.
 
-    ``result``: 'none' (no patch), 'unchanged', 'conflict' (another version), 'amended' (version + 1, updated).
+    One row an order, with ``result``: 'none' (no patch), 'unchanged', 'conflict' (another version), 'amended' (version +
+    1, updated). Of several patches of one order one counts, as the version has moved on for the others: the first by
+    user, then by its fields, of those that expect the order's version; if none does it is a conflict.
     """
-    p = patches.select("order_id", F.col("expected_version").alias("__v"), F.col("user_id").alias("__u"), *(F.col(f).alias(f"__{f}") for f in fields))
-    d = orders.join(p, "order_id", "left")
-    differs = lambda f: F.col(f"__{f}").isNotNull() & ~F.col(f"__{f}").eqNullSafe(F.col(f))
-    changed = F.exists(F.array(*map(differs, fields)), lambda x: x)
-    result = F.when(F.col("__u").isNull(), "none").when(F.col("__v") != F.col("version"), "conflict").when(changed, "amended").otherwise("unchanged")
+    p = patches.select("order_id", F.struct("user_id", *fields, F.col("expected_version").alias("v")).alias("p"))
+    p = p.groupBy("order_id", F.col("p.v").alias("v")).agg(F.min("p").alias("p")).groupBy("order_id").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("v", F.lit(-1)).alias("v"), "p"))).alias("__p"))  # a patch a version
+    d = orders.join(p, "order_id", "left").withColumn("__own", F.coalesce(F.try_element_at("__p", F.col("version")), F.try_element_at("__p", F.lit(-1))))
+    new = lambda f: F.col("__own")[f]
+    changed = functools.reduce(lambda a, b: a | b, (new(f).isNotNull() & ~new(f).eqNullSafe(F.col(f)) for f in fields))
+    result = F.when(F.col("__p").isNull(), "none").when(F.col("__own").isNull(), "conflict").when(changed, "amended").otherwise("unchanged")
     d = d.withColumn("result", result)
     won = F.col("result") == "amended"
-    cols = {f: F.when(won & F.col(f"__{f}").isNotNull(), F.col(f"__{f}")).otherwise(F.col(f)) for f in fields}
-    cols |= {"updated_by": F.when(won, F.col("__u")).otherwise(F.col("updated_by")), "updated_at": F.when(won, now).otherwise(F.col("updated_at")), "version": F.when(won, F.col("version") + 1).otherwise(F.col("version"))}
+    cols = {f: F.when(won & new(f).isNotNull(), new(f)).otherwise(F.col(f)) for f in fields}
+    cols |= {"updated_by": F.when(won, new("user_id")).otherwise(F.col("updated_by")), "updated_at": F.when(won, now).otherwise(F.col("updated_at")), "version": F.when(won, F.col("version") + 1).otherwise(F.col("version"))}
     return d.withColumns(cols).select(*orders.columns, "result")
 
 
@@ -49,19 +53,42 @@ def validate(locks: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     return requests.join(k, "token", "left").withColumn("valid", F.coalesce(ok, F.lit(False))).select(*requests.columns, "valid")
 
 
+def expire_count(locks: DataFrame, now: Column) -> DataFrame:
+    """(expired): how many locks ``expire`` makes inactive."""
+    return locks.agg(F.count_if(F.col("is_active") & (F.col("expires_at") < now)).alias("expired"))
+
+
 def extend(locks: DataFrame, requests: DataFrame, now: Column, default_seconds=300) -> DataFrame:
-    """Valid requests (token, user_id, seconds) push the old expiry on."""
-    r = requests.select(F.col("token").alias("lock_token"), "user_id", F.coalesce("seconds", F.lit(default_seconds)).alias("__s"))
-    go = F.col("is_active") & (F.col("locked_by") == F.col("user_id")) & (F.col("expires_at") > now)
+    """Valid requests (token, user_id, seconds) push the old expiry on, each of several of one owner by its own seconds.
+    One row a lock."""
+    r = requests.groupBy(F.col("token").alias("lock_token"), F.col("user_id").alias("locked_by")).agg(F.sum(F.coalesce("seconds", F.lit(default_seconds))).alias("__s"))
+    go = F.col("is_active") & F.col("__s").isNotNull() & (F.col("expires_at") > now)
     later = F.col("expires_at") + F.make_dt_interval(secs=F.col("__s"))
-    return locks.join(r, "lock_token", "left").withColumn("expires_at", F.when(go, later).otherwise(F.col("expires_at"))).select(*locks.columns)
+    return locks.join(r, ["lock_token", "locked_by"], "left").withColumn("expires_at", F.when(go, later).otherwise(F.col("expires_at"))).select(*locks.columns)
 
 
 def release(locks: DataFrame, requests: DataFrame) -> DataFrame:
-    """The owner's requests (token, user_id) make active locks inactive, expired ones too."""
-    r = requests.select(F.col("token").alias("lock_token"), F.col("user_id").alias("__u")).distinct()
-    go = F.col("__u").isNotNull() & (F.col("__u") == F.col("locked_by"))
-    return locks.join(r, "lock_token", "left").withColumn("is_active", F.col("is_active") & ~F.coalesce(go, F.lit(False))).select(*locks.columns)
+    """The owner's requests (token, user_id) make active locks inactive, expired ones too; whoever else asks changes
+    nothing. One row a lock."""
+    r = requests.select(F.col("token").alias("lock_token"), F.col("user_id").alias("locked_by")).distinct().withColumn("__go", F.lit(True))
+    d = locks.join(r, ["lock_token", "locked_by"], "left")
+    return d.withColumn("is_active", F.col("is_active") & F.col("__go").isNull()).select(*locks.columns)
+
+
+def find(orders: DataFrame, **fields) -> DataFrame:
+    """Orders whose fields have the given values: by id, number, client, status, or several of them."""
+    return orders.where(functools.reduce(lambda a, b: a & b, (F.col(k) == F.lit(v) for k, v in fields.items())))
+
+
+def with_orders(locks: DataFrame, orders: DataFrame, fields=("order_number", "client_id", "status")) -> DataFrame:
+    """Locks beside the order that they are on."""
+    return locks.join(orders.select("order_id", *fields), "order_id")
+
+
+def delete(orders: DataFrame, locks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(orders, locks) without the orders of ``gone`` (order_id): their locks go with them."""
+    ids = gone.select("order_id").distinct()
+    return orders.join(ids, "order_id", "left_anti").select(*orders.columns), locks.join(ids, "order_id", "left_anti").select(*locks.columns)
 
 
 def can_amend(orders: DataFrame, locks: DataFrame, now: Column) -> DataFrame:
@@ -70,10 +97,16 @@ def can_amend(orders: DataFrame, locks: DataFrame, now: Column) -> DataFrame:
 
 
 def create(orders: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Rows of ``new`` whose order number is not taken yet, with defaults; of equal new numbers the first by client."""
-    w = W.partitionBy("order_number").orderBy("client_id")
-    d = new.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn").join(orders.select("order_number"), "order_number", "left_anti")
-    return d.withColumns({"status": F.coalesce("status", F.lit("PENDING")), "currency": F.coalesce("currency", F.lit("USD")), "version": F.lit(1), "created_at": now, "updated_at": now})
+    """Rows of ``new`` whose order number is not taken yet, with defaults; of equal new numbers the first by client. Ids
+    go on from the largest order_id, in the order of the numbers."""
+    from .label import with_row_ids
+
+    first = new.groupBy("order_number").agg(F.min(F.struct("client_id", *(c for c in new.columns if c not in ("order_number", "client_id")))).alias("r")).select("order_number", "r.*")
+    d = with_row_ids(first.join(orders.select("order_number"), "order_number", "left_anti"), "order_number")
+    top = orders.agg(F.coalesce(F.max("order_id"), F.lit(0)).cast("long").alias("__top"))
+    d = d.join(F.broadcast(top)).withColumn("order_id", F.col("__top") + F.col("row_id") + 1)  # one row
+    d = d.withColumns({"status": F.coalesce("status", F.lit("PENDING")), "currency": F.coalesce("currency", F.lit("USD")), "version": F.lit(1), "created_at": now, "updated_at": now})
+    return d.select("order_id", *new.columns, "version", "created_at", "updated_at")
 
 
 def error_status(code: Column) -> Column:

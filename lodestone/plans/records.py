@@ -23,8 +23,14 @@ PATCHES = (
     "SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS expected_version, 'user' || CAST(o_custkey % 3 AS STRING) AS user_id, CAST(NULL AS STRING) AS order_type,"
     " CASE WHEN o_orderkey % 4 = 0 THEN 'F' END AS status, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_totalprice + 1 AS DECIMAL(15,2)) WHEN o_orderkey % 6 = 2 THEN CAST(o_totalprice AS DECIMAL(15,2)) END AS amount,"
     " CAST(NULL AS STRING) AS currency, CAST(NULL AS STRING) AS description FROM orders WHERE o_orderkey % 2 = 0"
+    " UNION ALL SELECT o_orderkey, 1, 'user' || CAST(o_orderkey % 4 AS STRING), CAST(NULL AS STRING), 'X', CAST(NULL AS DECIMAL(15,2)), CAST(NULL AS STRING), 'second patch' FROM orders WHERE o_orderkey % 3 = 0"
+)
+#: Strangers ask for every third lock, and for every sixth its owner too, twice for every twelfth.
+REQUESTS = (
+    "SELECT 'tok' || CAST(event_id AS STRING) AS token, 'u' || CAST(event_id % 5 AS STRING) AS user_id, CASE WHEN event_id % 2 = 0 THEN 60 END AS seconds FROM events WHERE event_id % 3 = 0"
+    " UNION ALL SELECT 'tok' || CAST(event_id AS STRING), 'u' || CAST(event_id % 7 AS STRING), 30 FROM events WHERE event_id % 6 = 0"
+    " UNION ALL SELECT 'tok' || CAST(event_id AS STRING), 'u' || CAST(event_id % 7 AS STRING), CAST(NULL AS INT) FROM events WHERE event_id % 12 = 0"
 )
-REQUESTS = "SELECT 'tok' || CAST(event_id AS STRING) AS token, 'u' || CAST(event_id % 5 AS STRING) AS user_id, CASE WHEN event_id % 2 = 0 THEN 60 END AS seconds FROM events WHERE event_id % 3 = 0"
 now = lambda: F.expr(NOW)
 
 
@@ -40,8 +46,48 @@ def client_orders(spark, sf_dir):
     return sql_of(spark, sf_dir, ORDERS, "orders")
 
 
+def orders_by_id(spark, sf_dir):
+    return orders.find(client_orders(spark, sf_dir), order_id=7).select("order_id", "order_number", "client_id")
+
+
+def orders_by_number(spark, sf_dir):
+    return orders.find(client_orders(spark, sf_dir), order_number="ORD-32").select("order_id", "order_number", "status")
+
+
 def orders_by_customer(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_custkey = 7").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return orders.find(client_orders(spark, sf_dir), client_id="7").select("order_id", "client_id", "status")
+
+
+def orders_of_status(spark, sf_dir):
+    return orders.find(client_orders(spark, sf_dir), status="P").select("order_id", "status")
+
+
+def orders_by_customer_and_status(spark, sf_dir):
+    return orders.find(client_orders(spark, sf_dir), client_id="7", status="O").select("order_id", "client_id", "status")
+
+
+def locks_with_orders(spark, sf_dir):
+    return orders.with_orders(locks(spark, sf_dir), client_orders(spark, sf_dir)).select("lock_token", "order_id", "order_number", "status")
+
+
+def _deleted(spark, sf_dir):
+    return orders.delete(client_orders(spark, sf_dir), locks(spark, sf_dir), client_orders(spark, sf_dir).where("order_id % 4 = 0"))
+
+
+def cascade_delete(spark, sf_dir):
+    """What is left of orders and locks once every fourth order is deleted."""
+    o, k = _deleted(spark, sf_dir)
+    return o.select(F.lit("order").alias("what"), F.col("order_id").cast("long").alias("id")).unionByName(k.select(F.lit("lock").alias("what"), F.col("id").cast("long").alias("id")))
+
+
+def expire_count(spark, sf_dir):
+    return orders.expire_count(locks(spark, sf_dir), now())
+
+
+def score_matches(spark, sf_dir):
+    """Scores by an inner join on three keys."""
+    a, b = (d.select("doc_id", (F.col("doc_id") % 10).alias("b"), F.lit("x").alias("c")) for d in _pairs(spark, sf_dir))
+    return _rounded(label.f1_of_matches(a, b, ["doc_id", "b", "c"]))
 
 
 def orders_by_status(spark, sf_dir):
@@ -56,7 +102,7 @@ def order_exists(spark, sf_dir):
 
 def amend_patch(spark, sf_dir):
     out = orders.amend(client_orders(spark, sf_dir), sql_of(spark, sf_dir, PATCHES, "orders"), now())
-    return out.select("order_id", "status", F.col("amount").cast("double").alias("amount"), "updated_by", "updated_at", "version", "result")
+    return out.select("order_id", "status", "description", F.col("amount").cast("double").alias("amount"), "updated_by", "updated_at", "version", "result")
 
 
 def create_orders(spark, sf_dir):
@@ -217,7 +263,7 @@ def class_report(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        orders_by_customer, orders_by_status, order_exists, amend_patch, create_orders, error_statuses, active_locks, expire_locks, purge_locks, validate_locks, extend_locks, release_locks, can_amend,
+        orders_by_id, orders_by_number, orders_by_customer, orders_of_status, orders_by_customer_and_status, locks_with_orders, cascade_delete, expire_count, score_matches, orders_by_status, order_exists, amend_patch, create_orders, error_statuses, active_locks, expire_locks, purge_locks, validate_locks, extend_locks, release_locks, can_amend,
         first_lock_wins, validation_errors, event_gap_clusters, gap_sessions, json_nonblank, json_summary, conversation_chunks, last_annotation_wins, group_promotion, dedupe_min_type, row_ids, top_rows,
         value_counts, score_f1, score_slices, true_minus_detected, detected_minus_true, without_missing, primary_gate, confusion_matrix, class_report,
     )
@@ -234,21 +280,31 @@ _O = f"{_A}, o AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.do
 _C = "count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn"
 _G = "l AS (SELECT quality, toxic, source, n_chars, CAST(n_chars > 500 AS INT) AS guess FROM labels JOIN documents USING (doc_id))"
 SQL = {
-    "orders_by_customer": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey = 7",
+    "orders_by_id": "SELECT o_orderkey AS order_id, 'ORD-' || o_orderkey AS order_number, CAST(o_custkey AS VARCHAR) AS client_id FROM orders WHERE o_orderkey = 7",
+    "orders_by_number": "SELECT o_orderkey AS order_id, 'ORD-' || o_orderkey AS order_number, o_orderstatus AS status FROM orders WHERE o_orderkey = 32",
+    "orders_by_customer": "SELECT o_orderkey AS order_id, CAST(o_custkey AS VARCHAR) AS client_id, o_orderstatus AS status FROM orders WHERE o_custkey = 7",
+    "orders_of_status": "SELECT o_orderkey AS order_id, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'P'",
+    "orders_by_customer_and_status": "SELECT o_orderkey AS order_id, CAST(o_custkey AS VARCHAR) AS client_id, o_orderstatus AS status FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'O'",
+    "locks_with_orders": "SELECT 'tok' || event_id AS lock_token, user_id AS order_id, 'ORD-' || o_orderkey AS order_number, o_orderstatus AS status FROM events JOIN orders ON user_id = o_orderkey",
+    "cascade_delete": "SELECT 'order' AS what, CAST(o_orderkey AS BIGINT) AS id FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT 'lock', CAST(event_id AS BIGINT) FROM events WHERE user_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0)",
+    "expire_count": f"WITH {_K} SELECT count(*) FILTER (is_active AND expires_at < {_N}) AS expired FROM k",
+    "score_matches": f"WITH {_A}, c AS (SELECT (SELECT count(*) FROM a JOIN b USING (doc_id)) AS tp, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM a) AS na), q AS (SELECT tp, nb - tp AS fp, na - tp AS fn, tp / nullif(nb, 0) AS p, tp / nullif(na, 0) AS r FROM c) SELECT tp, fp, fn, {_F} FROM q",
     "orders_by_status": "SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) AS total FROM orders GROUP BY o_orderstatus",
     "order_exists": "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_orders FROM customer",
-    "amend_patch": f"""WITH o AS ({ORDERS}), p AS ({PATCHES}), j AS (SELECT o.*, p.order_id IS NOT NULL AS has, p.expected_version, p.user_id, p.status AS ps, p.amount AS pa FROM o LEFT JOIN p USING (order_id)),
-      k AS (SELECT *, CASE WHEN NOT has THEN 'none' WHEN expected_version <> version THEN 'conflict' WHEN coalesce(ps <> status, false) OR coalesce(pa <> amount, false) THEN 'amended' ELSE 'unchanged' END AS result FROM j)
-      SELECT order_id, CASE WHEN result = 'amended' THEN coalesce(ps, status) ELSE status END AS status, CAST(CASE WHEN result = 'amended' THEN coalesce(pa, amount) ELSE amount END AS DOUBLE) AS amount,
+    "amend_patch": f"""WITH o AS ({ORDERS}), p AS ({PATCHES}), u AS (SELECT * FROM p WHERE expected_version = 1 QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY user_id, status NULLS FIRST, amount NULLS FIRST, description NULLS FIRST) = 1),
+      j AS (SELECT o.*, o.order_id IN (SELECT order_id FROM p) AS has, u.user_id, u.status AS ps, u.amount AS pa, u.description AS pd FROM o LEFT JOIN u USING (order_id)),
+      k AS (SELECT *, CASE WHEN NOT has THEN 'none' WHEN user_id IS NULL THEN 'conflict' WHEN coalesce(ps <> status, false) OR coalesce(pa <> amount, false) OR pd IS NOT NULL THEN 'amended' ELSE 'unchanged' END AS result FROM j)
+      SELECT order_id, CASE WHEN result = 'amended' THEN coalesce(ps, status) ELSE status END AS status, CASE WHEN result = 'amended' THEN pd END AS description, CAST(CASE WHEN result = 'amended' THEN coalesce(pa, amount) ELSE amount END AS DOUBLE) AS amount,
         CASE WHEN result = 'amended' THEN user_id ELSE updated_by END AS updated_by, CASE WHEN result = 'amended' THEN {_N} ELSE updated_at END AS updated_at, CASE WHEN result = 'amended' THEN version + 1 ELSE version END AS version, result FROM k""",
-    "create_orders": f"SELECT 'ORD-' || CAST(c_custkey * 20 AS STRING) AS order_number, c_name AS client_id, 'PENDING' AS status, 'USD' AS currency, 1 AS version, {_N} AS created_at, {_N} AS updated_at FROM customer WHERE c_custkey * 20 NOT IN (SELECT o_orderkey FROM orders)",
+    "create_orders": f"""WITH n AS (SELECT 'ORD-' || CAST(c_custkey * 20 AS STRING) AS order_number, c_name AS client_id FROM customer WHERE c_custkey * 20 NOT IN (SELECT o_orderkey FROM orders))
+      SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY order_number) AS order_id, order_number, client_id, 'PENDING' AS status, 'USD' AS currency, 1 AS version, {_N} AS created_at, {_N} AS updated_at FROM n""",
     "error_statuses": "SELECT CASE event_id % 4 WHEN 0 THEN 404 WHEN 1 THEN 401 WHEN 2 THEN 409 ELSE 400 END AS status, count(*) AS n FROM events GROUP BY 1",
     "active_locks": f"WITH {_K} SELECT lock_token, order_id, expires_at FROM k WHERE is_active AND expires_at > {_N}",
     "expire_locks": f"WITH {_K} SELECT lock_token, is_active AND NOT expires_at < {_N} AS is_active FROM k",
     "purge_locks": f"WITH {_K} SELECT lock_token FROM k WHERE NOT (is_active AND expires_at < {_N})",
     "validate_locks": f"WITH {_K}, {_R} SELECT token, user_id, coalesce(is_active AND locked_by = user_id AND expires_at > {_N}, false) AS valid FROM r LEFT JOIN k ON token = lock_token",
-    "extend_locks": f"WITH {_K}, {_R} SELECT lock_token, CASE WHEN is_active AND locked_by = user_id AND expires_at > {_N} THEN expires_at + to_seconds(coalesce(seconds, 300)) ELSE expires_at END AS expires_at FROM k LEFT JOIN r ON token = lock_token",
-    "release_locks": f"WITH {_K}, {_R} SELECT lock_token, is_active AND NOT coalesce(user_id = locked_by, false) AS is_active FROM k LEFT JOIN r ON token = lock_token",
+    "extend_locks": f"WITH {_K}, {_R}, g AS (SELECT token, user_id, sum(coalesce(seconds, 300)) AS seconds FROM r GROUP BY ALL) SELECT lock_token, CASE WHEN is_active AND seconds IS NOT NULL AND expires_at > {_N} THEN expires_at + to_seconds(CAST(seconds AS BIGINT)) ELSE expires_at END AS expires_at FROM k LEFT JOIN g ON token = lock_token AND user_id = locked_by",
+    "release_locks": f"WITH {_K}, {_R} SELECT lock_token, is_active AND NOT EXISTS (SELECT 1 FROM r WHERE token = lock_token AND user_id = locked_by) AS is_active FROM k",
     "can_amend": f"WITH {_K} SELECT c_custkey AS order_id FROM customer WHERE c_custkey NOT IN (SELECT order_id FROM k WHERE is_active AND expires_at > {_N})",
     "first_lock_wins": """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
       f AS (SELECT user_id, event_id, i, true AS granted, ts + INTERVAL 1 DAY AS until FROM e WHERE i = 1 UNION ALL
