@@ -63,6 +63,46 @@ def divide(docs: DataFrame, cuts: DataFrame, key="doc_id", text="text") -> DataF
     return d.withColumn("body", F.btrim(body, F.lit(" \t\r\n"))).withColumn("refs", refs).drop("cut")
 
 
+def last_headings(text: str | None) -> tuple[str, str]:
+    """The oldest rule: (body, references), cut at the last heading, then at the last one before it, three times at most.
+    Without any, at the last first entry that an entry follows within two lines; else behind the middle, where two of three
+    lines are entries, at the first entry of that run (ten lines back at most)."""
+    text = text or ""
+    cut = None
+    for _ in range(3):
+        found = [m.start() for m in _LAST.finditer(text if cut is None else text[:cut].strip())]
+        if not found:
+            break
+        cut = found[-1]
+    if cut is not None:
+        return text[:cut].strip(), text[cut:].strip()
+    rows = text.splitlines()
+    at = _entry_run(rows, [bool(_ENTRY.match(x.strip())) for x in rows])
+    return ("\n".join(rows[:at]).strip(), "\n".join(rows[at:]).strip()) if at is not None else (text.strip(), "")
+
+
+def _entry_run(rows: list[str], is_entry: list[bool]) -> int | None:
+    first = [k for k, x in enumerate(rows) if _FIRST.match(x.strip()) and any(is_entry[k + 1 : k + 3])]
+    if first:
+        return first[-1]
+    for k in range(len(rows) // 2, len(rows)):
+        if is_entry[k] and sum(is_entry[k : k + 3]) >= 2:
+            back = next((j for j in range(k, max(-1, k - 10), -1) if not is_entry[j]), None)
+            return max(0, k - 10) if back is None else back + 1
+    return None
+
+
+def divided_by_headings(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
+    """(key, body, refs) by ``last_headings``."""
+    def run(batches):
+        for b in batches:
+            got = [last_headings(t) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], [key, "body", "refs"])
+
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return d.mapInArrow(run, T.StructType([T.StructField(key, d.schema["key"].dataType), T.StructField("body", T.StringType()), T.StructField("refs", T.StringType())]))
+
+
 def windows(text: Column, size: int = 500, overlap: int = 100) -> Column:
     """Fixed windows that overlap, as an array."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size - overlap))
@@ -73,6 +113,7 @@ def sentences(text: Column) -> Column:
     return F.split(text, rules.SENTENCE_END)
 
 
+_LAST, _ENTRY, _FIRST = map(re.compile, (rules.LAST_HEADING, rules.NUMBERED_ENTRY, rules.FIRST_ENTRY))
 _HEAD = re.compile(r"(?m)^#{1,6}\s.*$")
 _END = re.compile(r"[.!?;\n。！？；]")
 _LINK = re.compile(r"https?://\S+|10\.\d{4,}/\S+|\([^()\n]*\)|\[[^\[\]\n]*\]")

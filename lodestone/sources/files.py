@@ -1,4 +1,4 @@
-"""Readers and writers. Schemas are given, never inferred."""
+"""Readers and writers. Schemas are given; only the columns of catalogs come from the headers of their files."""
 
 from __future__ import annotations
 
@@ -16,8 +16,24 @@ def stem(path="_metadata.file_path"):
 
 
 def xml_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(article_id, content) of a folder of XML files."""
-    return spark.read.text(path, wholetext=True).select(stem().alias("article_id"), F.col("value").alias("content"))
+    """(article_id, content) of a folder of XML files, in whatever encoding they declare."""
+    import pyarrow as pa
+
+    from ..operators.xmltext import decoded
+
+    raw = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", STEM, 1).alias("article_id"), "content")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["article_id"], pa.array([decoded(c) for c in b["content"].to_pylist()], pa.string())], ["article_id", "content"])
+
+    return raw.mapInArrow(run, "article_id string, content string")
+
+
+def publication_datasets(spark: SparkSession, path: str) -> DataFrame:
+    """(article_id, datasets) of a JSON object that maps publications to the identifiers of their datasets."""
+    d = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("publication", "datasets"))
+    return d.select(F.replace("publication", F.lit("/"), F.lit("_")).alias("article_id"), "datasets")
 
 
 def binary_directory(spark: SparkSession, path: str, decoder, glob="*.pdf") -> DataFrame:
@@ -128,10 +144,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape="\\")
 
 
-def write_datasets(resolved: DataFrame, path: str) -> None:
-    """One JSON line an article, and a summary line."""
+def datasets_json(resolved: DataFrame) -> DataFrame:
+    """One row: the JSON text of a run, datasets by article, all of them, and a summary."""
+    from ..operators.validate import datasets_by_article
+
+    by = datasets_by_article(resolved).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("article_key", "datasets")))).alias("datasets_by_article"), F.count("*").alias("a"))
+    every = resolved.agg(F.array_sort(F.collect_set("doi")).alias("all_datasets"), F.count_distinct("doi").alias("n"))
+    summary = F.struct(F.col("a").alias("articles_with_datasets"), F.col("n").alias("total_unique_datasets"))
+    return by.join(F.broadcast(every)).select(F.to_json(F.struct("datasets_by_article", "all_datasets", summary.alias("summary"))).alias("value"))
+
+
+def write_datasets(resolved: DataFrame, path: str, *, one_file: bool = True) -> None:
+    """One JSON file, as ``datasets_json`` makes it: a report, which must fit a task. Otherwise, for results of any size,
+    folders: a JSON line an article, a line a dataset, and the summary."""
     from ..operators.validate import datasets_by_article
 
+    if one_file:
+        datasets_json(resolved).coalesce(1).write.mode("overwrite").text(path)
+        return
     by = datasets_by_article(resolved)
     by.select(F.to_json(F.struct("article_key", "datasets")).alias("value")).write.mode("overwrite").text(f"{path}/datasets_by_article")
     resolved.select("doi").distinct().orderBy("doi").write.mode("overwrite").text(f"{path}/all_datasets")
