@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 #: Multipliers of the n-gram hashes.
 FIRST, SECOND = 14918087, 18408749
 
@@ -23,13 +25,24 @@ def vocabulary(docs: DataFrame, text="text", key="doc_id", *, least=1, most=10_0
 
 
 def encode(docs: DataFrame, vocab: DataFrame, text="text", key="doc_id", *, size=32, by_char=False, pad_as_unk=False) -> DataFrame:
-    """(key, ids, seq_len): the first ``size`` tokens as ids, padded. The vocabulary is bounded, so its map is."""
-    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("__vocab"))
-    parts = F.slice(F.filter(F.split(F.btrim(text, F.lit(" \t\r\n")), "" if by_char else " "), lambda x: x != ""), 1, size)
-    d = docs.select(key, parts.alias("__t")).join(F.broadcast(table))
-    unk, pad = F.col("__vocab")["<UNK>"], F.col("__vocab")["<UNK>" if pad_as_unk else "<PAD>"]
-    ids = F.transform("__t", lambda x: F.coalesce(F.try_element_at("__vocab", x), unk))
-    return d.select(key, F.concat(ids, F.array_repeat(pad, F.lit(size) - F.size("__t"))).alias("ids"), F.size("__t").alias("seq_len"))
+    """(key, ids, seq_len): the first ``size`` tokens as ids, padded. Rows must have different keys.
+
+    Text is cut no further than it takes to find ``size`` tokens; tokens are looked up by a join, and what has no id at
+    first is unknown. The vocabulary is bounded (10,000 by default) and small enough to be broadcast, which Spark checks.
+    """
+    trimmed = F.btrim(text, F.lit(" \t\r\n"))
+    full = lambda parts: F.filter(parts, lambda x: x != "")
+    # blanks in a row leave empty tokens: twice the size is nearly always enough, else the whole text is cut
+    few = F.split(trimmed, "" if by_char else " ", 2 * size + 1)
+    cut = lambda parts: F.when((F.size(parts) <= 2 * size) | (F.size(full(F.slice(parts, 1, 2 * size))) >= size), full(F.slice(parts, 1, 2 * size))).otherwise(full(F.split(trimmed, "" if by_char else " ")))
+    tokens = docs.select(F.col(key), F.slice(let(few, cut), 1, size).alias("__t"))
+    marks = vocab.where(F.col("token").isin("<UNK>", "<PAD>")).agg(F.max(F.when(F.col("token") == "<UNK>", F.col("id"))).alias("__unk"), F.max(F.when(F.col("token") == "<PAD>", F.col("id"))).alias("__pad"))
+    rows = tokens.select(key, F.size("__t").alias("seq_len"), F.posexplode_outer("__t").alias("__at", "token"))
+    rows = rows.join(vocab.where(~F.col("token").isin("<UNK>", "<PAD>")), "token", "left")
+    got = rows.groupBy(key).agg(F.max("seq_len").alias("seq_len"), F.array_sort(F.collect_list(F.struct("__at", "id"))).alias("__ids")).join(F.broadcast(marks))  # one row
+    ids = F.transform(F.filter("__ids", lambda x: x["__at"].isNotNull()), lambda x: F.coalesce(x["id"], F.col("__unk")))
+    pad = F.col("__unk" if pad_as_unk else "__pad")
+    return got.select(key, F.concat(ids, F.array_repeat(pad, F.lit(size) - F.col("seq_len"))).alias("ids"), "seq_len")
 
 
 def bigrams(ids: Column, buckets: int) -> Column:
@@ -44,9 +57,9 @@ def trigrams(ids: Column, buckets: int) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    powers = lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, y: a + y)
+    return let(powers(scores), lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def top_classes(scores: Column, k: int) -> Column:
@@ -57,8 +70,7 @@ def top_classes(scores: Column, k: int) -> Column:
 
 def weighted_argmax(scores: Column, weights) -> Column:
     """Place of the largest weighted score, the first of equals."""
-    w = F.zip_with(scores, F.array(*map(F.lit, weights)), lambda a, b: a * b)
-    return F.array_position(w, F.array_max(w)).cast("int") - 1
+    return let(F.zip_with(scores, F.array(*map(F.lit, weights)), lambda a, b: a * b), lambda w: F.array_position(w, F.array_max(w)).cast("int") - 1)
 
 
 def mean_pool(vectors: DataFrame, group: str, vector: str, size: int, mask: Column | None = None) -> DataFrame:
@@ -79,5 +91,13 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
 
 
 def best_so_far(df: DataFrame, order: str, score: str, group: str | None = None) -> DataFrame:
-    w = (W.partitionBy(group) if group else W).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("best", F.max(score).over(w))
+    """The largest score up to each row. Without a group rows are numbered first, and blocks of them follow each other."""
+    if group:
+        return df.withColumn("best", F.max(score).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    from .label import with_row_ids
+
+    d = with_row_ids(df, order).withColumn("__b", F.floor(F.col("row_id") / 100_000))
+    tops = d.groupBy("__b").agg(F.max(score).alias("__top"))
+    tops = tops.withColumn("__before", F.max("__top").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1))).drop("__top")  # a row a block
+    inside = F.max(score).over(W.partitionBy("__b").orderBy("row_id").rowsBetween(W.unboundedPreceding, 0))
+    return d.withColumn("__in", inside).join(tops, "__b").withColumn("best", F.greatest("__in", "__before")).select(*df.columns, "best")

@@ -7,16 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.columns import let, stripped
 
 MATCH = "array<struct<start:int,end:int,value:string>>"
 RUN = 64
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is worked out once: inside other functions' steps it would be for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def all_matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> (code points, ends exclusive): gaps and matches alternate, so lengths add up.
 
@@ -46,30 +42,39 @@ def compiled(ci: bool, pattern: str) -> str:
     return f"(?i){pattern}" if ci else pattern
 
 
-def mentions(docs: DataFrame, *, names=None, body="body", refs="refs", keep=("doc_id",)) -> DataFrame:
-    """One row a match: ``keep``, pattern_name, priority, section, start, end, value, near.
+def mentions(docs: DataFrame, *, names=None, body="body", refs="refs", keep=("doc_id",), widen=1, contexts=False) -> DataFrame:
+    """One row a match: ``keep``, pattern_name, priority, section, start, end, value, near, and with ``contexts`` also
+    context (whole sentences around the match).
 
     Patterns for DOIs read their own section, all others the body and the references together. One cheap test a pattern
     keeps texts without it away from the scan. ``near`` tells whether a word of the pattern's database stands within its
-    window; it is worked out while the text is at hand, so that no text is shuffled for it.
+    window (``widen`` times as wide); it is worked out while the text is at hand, so that no text is shuffled for it.
     """
-    parts = []
-    both = F.concat(F.col(body), F.lit("\n"), F.col(refs))
+    section = lambda name: "body" if name in ("doi", "doi2") else "references" if name.startswith("doi_ref") else "all"
+    text_of = {"body": "__body", "references": "__refs", "all": "__both"}
+    texts = docs.select(*keep, F.col(body).alias("__body"), F.col(refs).alias("__refs"), F.concat(F.col(body), F.lit("\n"), F.col(refs)).alias("__both"))
+    tests = []
     for priority, (name, ci, pattern) in enumerate(rules.PATTERNS, 1):
-        if names is not None and name not in names:
-            continue
-        text, section = (F.col(body), "body") if name in ("doi", "doi2") else (F.col(refs), "references") if name.startswith("doi_ref") else (both, "all")
-        found = F.when(text.rlike(compiled(ci, pattern)), all_matches(text, compiled(ci, pattern))).otherwise(F.array().cast(MATCH))
-        parts.append(_tagged(found, name, priority, section, text))
-    return docs.select(*keep, F.explode(F.concat(*parts)).alias("m")).select(*keep, "m.*")
-
-
-def _tagged(found: Column, name: str, priority: int, section: str, text: Column) -> Column:
-    def one(m: Column) -> Column:
-        fixed = [F.lit(name).alias("pattern_name"), F.lit(priority).alias("priority"), F.lit(section).alias("section")]
-        return F.struct(*fixed, *(m[k].alias(k) for k in ("start", "end", "value")), near_words(text, m["start"], m["end"], name).alias("near"))
-
-    return F.transform(found, one)
+        if names is None or name in names:
+            window, words = rules.CONTEXT.get(database_of(name), (0, ""))
+            rule = {"pattern_name": name, "priority": priority, "section": section(name), "__pattern": compiled(ci, pattern), "__window": window * widen, "__words": f"(?i){words}" if words else ""}
+            tests.append(F.when(F.col(text_of[section(name)]).rlike(compiled(ci, pattern)), F.struct(*(F.lit(v).alias(k) for k, v in rule.items()))))
+    # a row a pattern that the text has, then a row a match: what places the matches stands once in the plan, not once a pattern
+    rows = texts.select(*keep, "__body", "__refs", "__both", F.explode(F.array_compact(F.array(*tests))).alias("p"))
+    text = F.when(F.col("p.section") == "body", F.col("__body")).when(F.col("p.section") == "references", F.col("__refs")).otherwise(F.col("__both"))
+    rows = rows.select(*keep, text.alias("__text"), "p.*")
+    rows = rows.select(*keep, "__text", "pattern_name", "priority", "section", "__window", "__words", F.explode(all_matches(F.col("__text"), F.col("__pattern"))).alias("m"))
+    rows = rows.select(*keep, "__text", "pattern_name", "priority", "section", "m.*", "__window", "__words")
+    left = F.greatest(F.col("start") - F.col("__window"), F.lit(0))
+    near = F.substr("__text", left + 1, F.col("end") + F.col("__window") - left)
+    rows = rows.withColumn("near", F.when(F.col("__words") == "", True).otherwise(F.rlike(near, F.col("__words"))))
+    if contexts:
+        rows = rows.withColumn("context", sentence_context(F.col("__text"), F.col("start"), F.col("end")))
+    return rows.drop("__text", "__window", "__words")
+
+
+def database_of(name: str) -> str:
+    return rules.DATABASE_OF.get(name, name.split("_")[0])
 
 
 def first_by_priority(found: DataFrame, known: DataFrame, keys=("doc_id", "value")) -> DataFrame:
@@ -78,6 +83,29 @@ def first_by_priority(found: DataFrame, known: DataFrame, keys=("doc_id", "value
     return found.join(known.select(*keys), list(keys), "left_anti").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
+def recovered(found: DataFrame, keys=("doc_id", "value")) -> DataFrame:
+    """The same of one scan: matches with ``known`` (another pass has found them), keys of which none is known, each by
+    the first pattern, then the first place."""
+    g = found.groupBy(*keys).agg(F.bool_or("known").alias("__known"), F.min_by("pattern_name", F.struct("priority", "start")).alias("pattern_name"))
+    return g.where("NOT __known").drop("__known")
+
+
+def prefixed(docs: DataFrame, words=None, by="doc_id", text="text") -> DataFrame:
+    """(by, prefix, start, end) of the words of repositories, by the prefix of their DOIs."""
+    words = rules.REPOSITORY_WORDS if words is None else words
+    has = F.array_compact(F.array(*(F.when(F.col(text).rlike(w), F.struct(F.lit(p).alias("prefix"), F.lit(w).alias("words"))) for p, w in words.items())))
+    rows = docs.select(by, F.col(text).alias("__text"), F.explode(has).alias("p"))
+    return rows.select(by, "p.prefix", F.explode(all_matches(F.col("__text"), F.col("p.words"))).alias("m")).select(by, "prefix", "m.start", "m.end")
+
+
+def distinct_values(docs: DataFrame, patterns=None, by="doc_id", text="text") -> DataFrame:
+    """(by, pattern_name, value): the different values that each pattern's first group has in a text."""
+    patterns = rules.SIMPLE_PATTERNS if patterns is None else patterns
+    has = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"))) for n, p in patterns.items())))
+    rows = docs.select(by, F.col(text).alias("__text"), F.explode(has).alias("p"))
+    return rows.select(by, F.col("p.name").alias("pattern_name"), F.explode(F.array_distinct(F.regexp_extract_all("__text", F.col("p.pattern"), 1))).alias("value"))
+
+
 def clusters(found: DataFrame, docs: DataFrame, *, by="doc_id", text="text", gap=50, window=100) -> DataFrame:
     """Matches (by, prefix, start, end) less than ``gap`` apart form a cluster, named by its first match:
     (by, prefix, cluster_start, cluster_end, context). Texts of ``docs`` are joined once, to the clusters."""
@@ -91,52 +119,73 @@ def clusters(found: DataFrame, docs: DataFrame, *, by="doc_id", text="text", gap
     return out.select(by, "prefix", "cluster_start", "cluster_end", context.alias("context"))
 
 
-def near_words(text: Column, start: Column, end: Column, name: str, widen: int = 1) -> Column:
-    """A word of the pattern's database stands within its window; true if the database has no rule."""
-    rule = rules.CONTEXT.get(rules.DATABASE_OF.get(name, name.split("_")[0]))
-    if rule is None:
-        return F.lit(True)
-    left = F.greatest(start - rule[0] * widen, F.lit(0))
-    return F.substr(text, left + 1, end + rule[0] * widen - left).rlike(f"(?i){rule[1]}")
+def snippets(found: DataFrame, by="doc_id") -> DataFrame:
+    """(by, registrant, snippet): the different contexts of an article's clusters of one prefix, in order, joined."""
+    g = found.groupBy(by, "prefix").agg(F.array_sort(F.collect_list(F.struct("cluster_start", "context"))).alias("c"))
+    return g.select(by, F.col("prefix").alias("registrant"), F.array_join(F.array_distinct(F.transform("c", lambda x: x["context"])), "").alias("snippet"))
 
 
 def line_context(text: Column, start: Column, end: Column, before=200, after=100) -> Column:
     """The line around a match, clamped."""
-    head, tail = F.substr(text, F.lit(1), start), F.substr(text, end + 1)
-    left = F.greatest(start - before, F.length(head) - F.length(F.substring_index(head, "\n", -1)))
-    right = F.least(end + after, end + F.length(F.substring_index(tail, "\n", 1)))
-    return F.substr(text, left + 1, right - left)
+    left = F.substr(text, F.greatest(start - before, F.lit(0)) + 1, F.least(start, F.lit(before)))
+    right = F.substr(text, end + 1, F.lit(after))
+    return F.concat(F.substring_index(left, "\n", -1), F.substr(text, start + 1, end - start), F.substring_index(right, "\n", 1))
 
 
-def sentence_context(text: Column, start: Column, end: Column, before=100, after=50) -> Column:
-    """Up to twice the wanted characters on each side, cut at the farthest sentence end in reach, else once."""
-    left_wide = F.substr(text, F.greatest(start - 2 * before, F.lit(0)) + 1, start - F.greatest(start - 2 * before, F.lit(0)))
-    cut = F.length(left_wide) - F.length(F.regexp_replace(left_wide, r"(?s)^.*?[.!?\n]\s*", ""))
-    left = F.when(cut > 0, F.greatest(start - 2 * before, F.lit(0)) + cut).otherwise(F.greatest(start - before, F.lit(0)))
-    right_wide = F.substr(text, end + 1, F.lit(2 * after))
-    reach = F.length(F.regexp_extract(right_wide, r"(?s)^.*[.!?\n]", 0))
-    right = F.when(reach > 0, end + reach).otherwise(F.least(end + after, F.length(text)))
-    return F.trim(F.substr(text, left + 1, right - left))
+#: Signs that end a sentence.
+ENDS = r"[.!?\n。！？]"
 
 
-def availability(text: Column) -> Column:
-    """struct<statement, method>: what the header rule and the sentence rule find about the availability of data."""
-    at = F.regexp_instr(text, F.lit(rules.AVAILABILITY_HEADER))
-    header = F.when(at > 0, F.trim(F.substr(text, at, F.lit(500))))
-    sentences = F.filter(F.transform(F.split(text, rules.SENTENCE_END), F.trim), lambda s: (s != "") & s.rlike(rules.AVAILABILITY_WORDS) & s.rlike(rules.REPOSITORY_NAMES))
+def sentence_context(text: Column, start: Column, end: Column, before=200, after=100) -> Column:
+    """Up to twice the wanted characters on each side, cut at the farthest sentence end in reach; once if there is none."""
+    wide = lambda n: F.substr(text, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))
+    left = F.when(wide(2 * before).rlike(ENDS), F.regexp_replace(wide(2 * before), rf"(?sU)^.*?{ENDS}\s*", "")).otherwise(wide(before))
+    ahead = lambda n: F.substr(text, end + 1, F.lit(n))
+    right = F.when(ahead(2 * after).rlike(ENDS), F.regexp_extract(ahead(2 * after), rf"(?s)^.*{ENDS}", 0)).otherwise(ahead(after))
+    return stripped(F.concat(left, F.substr(text, start + 1, end - start), right))
+
 
+def availability_header(text: Column, most: int = 500) -> Column:
+    """What follows the first heading about the availability of data; null if there is none."""
+    return let(F.regexp_instr(text, F.lit(rules.AVAILABILITY_HEADER)), lambda at: F.when(at > 0, stripped(F.substr(text, at, F.lit(most)))))
+
+
+def availability_sentences(text: Column) -> Column:
+    """array of sentences that say where data is: a word of availability and a repository at most 200 characters apart;
+    long ones cut to 300 characters around both."""
     def snippet(s: Column) -> Column:
-        a, b = F.regexp_instr(s, F.lit(rules.AVAILABILITY_WORDS)) - 1, F.regexp_instr(s, F.lit(rules.REPOSITORY_NAMES)) - 1
-        a_end, b_end = a + F.length(F.regexp_substr(s, F.lit(rules.AVAILABILITY_WORDS))), b + F.length(F.regexp_substr(s, F.lit(rules.REPOSITORY_NAMES)))
-        apart = F.when(a < b, b - a_end).otherwise(a - b_end)
-        middle = F.least(a, b) + F.floor((F.greatest(a_end, b_end) - F.least(a, b)) / 2).cast("int")
-        first = F.greatest(middle - 150, F.lit(0))
+        one = lambda c, p: let(F.regexp_instr(c, F.lit(p)) - 1, lambda at: F.struct(at.alias("start"), (at + F.length(F.regexp_substr(c, F.lit(p)))).alias("end")))
+        pair = F.struct(one(s, rules.AVAILABILITY_WORDS).alias("a"), one(s, rules.REPOSITORY_NAMES).alias("b"))
+        return let(pair, lambda p: _snippet(s, p["a"], p["b"]))
+
+    both = lambda s: s.rlike(rules.REPOSITORY_NAMES) & s.rlike(rules.AVAILABILITY_WORDS)
+    some = F.filter(F.transform(F.split(text, rules.SENTENCE_END), stripped), both)
+    return F.array_compact(F.transform(some, snippet))
+
+
+def _snippet(s: Column, a: Column, b: Column) -> Column:
+    apart = F.when(a["start"] < b["start"], b["start"] - a["end"]).otherwise(a["start"] - b["end"])
+    begin, end = F.least(a["start"], b["start"]), F.greatest(a["end"], b["end"])
+    first = F.greatest(begin + F.floor((end - begin) / 2).cast("int") - 150, F.lit(0))
+
+    def cut(first: Column) -> Column:
         last = F.least(first + 300, F.length(s))
-        begin = F.when(first > 0, first + F.length(F.substring_index(F.substr(s, first + 1), " ", 1)) + 1).otherwise(first)
-        cut = F.concat(F.when(begin > 0, "... ").otherwise(""), F.substr(s, begin + 1, F.greatest(last - begin, F.lit(0))), F.when(last < F.length(s), " ...").otherwise(""))
-        return F.when(apart <= 200, F.when(F.length(s) > 300, cut).otherwise(s))
-
-    found = F.array_join(F.array_compact(F.transform(sentences, snippet)), "\n")
-    search = F.when(found != "", found)
-    method = F.when(search.isNotNull() & header.isNotNull(), "hybrid").when(header.isNotNull(), "header").when(search.isNotNull(), "sentence").otherwise("none")
-    return F.struct(F.nullif(F.concat_ws("\n", search, header), F.lit("")).alias("statement"), method.alias("method"))
+        # from behind the next blank, or from the start if there is none
+        blank = F.call_function("locate", F.lit(" "), s, first + 1)
+        begin = F.when(first > 0, blank).otherwise(first)
+        return let(begin, lambda at: F.concat(F.when(at > 0, "... ").otherwise(""), F.substr(s, at + 1, F.greatest(last - at, F.lit(0))), F.when(last < F.length(s), " ...").otherwise("")))
+
+    return F.when(apart <= 200, F.when(F.length(s) > 300, let(first, cut)).otherwise(s))
+
+
+def availability(text: Column) -> Column:
+    """struct<statement, method>: what the header rule and the sentence rule find about the availability of data. Texts
+    without the name of a repository are not cut into sentences."""
+    found = F.when(text.rlike(rules.REPOSITORY_NAMES), F.nullif(F.array_join(availability_sentences(text), "\n"), F.lit("")))
+
+    def merged(f: Column) -> Column:
+        header, search = f["header"], f["search"]
+        method = F.when(search.isNotNull() & header.isNotNull(), "hybrid").when(header.isNotNull(), "header").when(search.isNotNull(), "sentence").otherwise("none")
+        return F.struct(F.nullif(F.concat_ws("\n", search, header), F.lit("")).alias("statement"), method.alias("method"))
+
+    return let(F.struct(availability_header(text).alias("header"), found.alias("search")), merged)

@@ -82,24 +82,35 @@ def triage(doi: Column) -> Column:
     return F.when(doi.isNull() | (doi == ""), "drop").when(listed, "dataset").when(likely_dataset(doi), "lookup").otherwise("drop")
 
 
+def looked_up(references: DataFrame, index: DataFrame) -> DataFrame:
+    """``references`` (article_id, doi) with ``kind`` (see ``triage``) and ``found``: a repository's, or one that may be a
+    dataset and stands in ``index`` (doi)."""
+    t = references.withColumn("kind", triage(F.col("doi"))).withColumn("__d", F.when(F.col("kind") == "lookup", tx.bare_doi(F.lower("doi"))))
+    hit = index.select(tx.bare_doi(F.lower("doi")).alias("__d")).distinct().withColumn("__hit", F.lit(True))
+    return t.join(hit, "__d", "left").withColumn("found", (F.col("kind") == "dataset") | F.col("__hit").isNotNull()).drop("__d", "__hit")
+
+
 def resolve(references: DataFrame, index: DataFrame) -> DataFrame:
-    """(article_id, doi) of ``references`` that are datasets: a repository's, or looked up and found in ``index`` (doi)."""
-    t = references.withColumn("kind", triage(F.col("doi")))
-    hit = index.select(tx.bare_doi(F.lower("doi")).alias("__d")).distinct()
-    found = t.where("kind = 'lookup'").withColumn("__d", tx.bare_doi(F.lower("doi"))).join(hit, "__d", "left_semi").drop("__d")
-    return t.where("kind = 'dataset'").unionByName(found).drop("kind")
+    """(article_id, doi) of ``references`` that are datasets."""
+    return looked_up(references, index).where("found").drop("kind", "found")
 
 
 def datasets_by_article(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy(tx.doi_key(F.col("article_id")).alias("article_key")).agg(F.array_sort(F.collect_list("doi")).alias("datasets"))
 
 
-def resolver_summary(references: DataFrame, resolved: DataFrame) -> DataFrame:
-    """One row: the counters of a run."""
-    t = references.withColumn("kind", triage(F.col("doi")))
-    a = t.agg(F.count_distinct("article_id").alias("total_articles"), F.count("*").alias("total_dois"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("dataset", "lookup", "drop")))
-    b = resolved.agg(F.count_distinct("doi").alias("total_unique_datasets"), F.count_distinct("article_id").alias("articles_with_datasets"))
-    return a.join(F.broadcast(b))  # one row each
+def resolver_summary(references: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: the counters of a run, and the shares made of them. Equal references are triaged once."""
+    g = looked_up(references.groupBy("article_id", "doi").agg(F.count("*").alias("n")), index)
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    found, kind = F.col("found"), F.col("kind")
+    out = g.agg(
+        F.count_distinct("article_id").alias("total_articles"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_dois"), *(n(kind == k).alias(f"n_{k}") for k in ("dataset", "lookup", "drop")),
+        n(found).alias("total_datasets_found"), n((kind == "lookup") & ~found).alias("filtered_dois"),
+        F.count_distinct(F.when(found, F.col("doi"))).alias("total_unique_datasets"), F.count_distinct(F.when(found, F.col("article_id"))).alias("articles_with_datasets"),
+    )
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 9)
+    return out.withColumn("articles_share", share(F.col("articles_with_datasets"), F.col("total_articles"))).withColumn("lookup_success", share(F.col("total_datasets_found") - F.col("n_dataset"), F.col("n_lookup")))
 
 
 def violations(**checks: Column) -> Column:
