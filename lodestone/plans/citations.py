@@ -99,22 +99,20 @@ def accession_valid(spark, sf_dir):
 
 
 def recovery_pass(spark, sf_dir):
-    """Matches of the raw text that a first pass over all but its last 60 characters has not found."""
-    d = docs(spark, sf_dir)
-    both = lambda c: d.select("doc_id", c.alias("body"), F.lit("").alias("refs"))
-    first = matching.mentions(both(F.substr("text", F.lit(1), F.greatest(F.length("text") - 120, F.lit(0)))), names=("doi", "doi2", *ACCESSIONS))
-    raw = matching.mentions(both(F.col("text")), names=("doi", "doi2", *ACCESSIONS))
-    return matching.first_by_priority(raw, first.select("doc_id", "value").distinct()).select("doc_id", "value", "pattern_name")
+    """Identifiers that stand only in the last 120 characters of a text, by the first pattern: what a pass over all before
+    has not found. Both passes are one scan."""
+    d = docs(spark, sf_dir).select("doc_id", (F.length("text") - 120).alias("seen"), F.col("text").alias("body"), F.lit("").alias("refs"))
+    raw = matching.mentions(d, names=("doi", "doi2", *ACCESSIONS), keep=("doc_id", "seen"))
+    return matching.recovered(raw.withColumn("known", F.col("end") <= F.col("seen"))).select("doc_id", "value", "pattern_name")
 
 
 def keyword_clusters(spark, sf_dir):
     d = docs(spark, sf_dir)
-    parts = [_prefixed(rules.REPOSITORY_WORDS[p], p) for p in ("10.5061", "10.5281")]
-    return matching.clusters(d.select("doc_id", F.inline(F.concat(*parts))), d)
+    return matching.clusters(matching.prefixed(d), d)
 
 
-def _prefixed(words, prefix):
-    return F.transform(matching.all_matches(F.col("text"), words), lambda m: F.struct(F.lit(prefix).alias("prefix"), m["start"].alias("start"), m["end"].alias("end")))
+def repository_snippets(spark, sf_dir):
+    return matching.snippets(keyword_clusters(spark, sf_dir))
 
 
 def reference_cut(spark, sf_dir):
@@ -135,7 +133,9 @@ def year_line_filter(spark, sf_dir):
 
 
 def spaced_headings(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.length(tx.spaced_headings(F.col("text"))).alias("n_chars"))
+    """Blank lines around headings; those that end in a full stop stay."""
+    ends = F.when(F.col("doc_id") % 2 == 0, F.lit("\nReferences Cited.\nREFERENCES \n2. Bibliography\nthe References")).otherwise("")
+    return docs(spark, sf_dir).select("doc_id", F.md5(tx.spaced_headings(F.concat("text", ends)).cast("binary")).alias("text_md5"))
 
 
 def balanced_ids(spark, sf_dir):
@@ -145,11 +145,20 @@ def balanced_ids(spark, sf_dir):
 
 def availability_header(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 4 == 0, F.lit("\nData availability: all data are in the archive.")).otherwise("")).alias("text"))
-    return d.select("doc_id", F.regexp_instr("text", F.lit(rules.AVAILABILITY_HEADER)).alias("pos"), F.trim(F.substr("text", F.regexp_instr("text", F.lit(rules.AVAILABILITY_HEADER)), F.lit(500))).alias("statement")).where("pos > 0")
+    d = d.select("doc_id", F.regexp_instr("text", F.lit(rules.AVAILABILITY_HEADER)).alias("pos"), matching.availability_header(F.col("text")).alias("statement"))
+    return d.where("pos > 0")
+
+
+#: A sentence of its own behind each text, with all that the sentence rule wants or one thing missing; for some a heading.
+STATED = (
+    "coalesce(text, '') || ' end! ' || CASE doc_id % 3 WHEN 0 THEN 'The data were deposited in Dryad under number ' || CAST(doc_id AS STRING) || '.' WHEN 1 THEN 'They are with Zenodo for now.'"
+    " ELSE 'All was deposited ' || repeat('with much care ', 15) || 'in Dryad.' END || ' Then more!' || CASE WHEN doc_id % 4 = 0 THEN ' Data Availability: on request.' ELSE '' END"
+)
 
 
 def availability_statement(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", matching.availability(F.col("text")).alias("a")).select("doc_id", "a.*")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(STATED).alias("text"))
+    return d.select("doc_id", matching.availability(F.col("text")).alias("a")).select("doc_id", "a.*")
 
 
 def catalog_group_sets(spark, sf_dir):
@@ -181,9 +190,35 @@ def rule_labels(spark, sf_dir):
     return m.select("doc_id", "dataset_id", label.rule_label(F.col("dataset_id"), F.lit("body")).alias("type"))
 
 
+#: Texts that hold their identifier in several forms, and other links.
+CITING = "{t} || ' see https://doi.org/10.5061/dryad.' || CAST(doc_id % 97 AS STRING) || 'abcd or HTTPS://DOI.ORG/10.5061/DRYAD.' || CAST(doc_id % 97 AS STRING) || 'abcd at http://example.org/x<y>'"
+
+
 def cite_marks(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", F.substr("text", F.greatest(F.length("text") - 500, F.lit(0)) + 1).alias("text"), F.concat(F.lit("https://doi.org/10.5061/dryad."), (F.col("doc_id") % 97).cast("string"), F.lit("abcd")).alias("dataset_id"))
-    return d.select("doc_id", tx.cited(F.col("text"), F.col("dataset_id")).alias("marked"))
+    d = docs(spark, sf_dir).select("doc_id", F.expr(CITING.format(t="text")).alias("text"))
+    ids = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("GSE"), (10000 + F.col("doc_id") % 50).cast("string"))).otherwise(F.concat(F.lit("https://doi.org/10.5061/dryad."), (F.col("doc_id") % 97).cast("string"), F.lit("abcd")))
+    return d.select("doc_id", tx.cited(F.col("text"), F.when(F.col("doc_id") % 7 != 0, ids)).alias("marked"))
+
+
+def label_links(spark, sf_dir):
+    """Labels before links, and links that repeat, of both kinds."""
+    u, d = "'http://e.org/' || CAST(p_partkey AS STRING)", "'10.1234/Ab' || CAST(p_partkey AS STRING)"
+    text = f"'see [here](' || {u} || ') or (' || {u} || ')(' || {u} || ') end (' || {u} || ') - (' || {u} || '); [' || p_name || ' and a label far too long to go](' || {d} || ') [x](' || {d} || ')(' || lower({d}) || ')(' || {d} || ').'"
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(text).alias("t"))
+    return p.select("p_partkey", tx.without_labels(F.col("t")).alias("urls"), tx.without_labels(F.col("t"), "doi").alias("dois"))
+
+
+def quotes_and_authors(spark, sf_dir):
+    answer = F.concat(F.lit("<authors>"), F.col("p_name"), F.lit('; "'), F.col("p_brand"), F.lit('"</authors> and more'))
+    p = label.cover_authors(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("cover"), answer.alias("answer")), key="p_partkey")
+    return p.select("p_partkey", tx.single_quoted(F.col("authors")).alias("authors"))
+
+
+def link_repairs(spark, sf_dir):
+    """Links broken in all ways that the rewrites know, by part."""
+    k = F.col("p_partkey").cast("string")
+    t = F.concat(F.lit("a https:// doi. org/10. 1234/ x"), k, F.lit("- b- c- d- e (see 10.1234/ab"), k, F.lit(" cd) \n\nhttps://doi.org/10.5061/z"), k, F.lit(" doi.org/ 10.99999/ q"), k, F.lit(". rest, and 10.4321/p. DATA end"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.repair_links(t).alias("text"))
 
 
 def line_contexts(spark, sf_dir):
@@ -227,8 +262,12 @@ def page_plain_text(spark, sf_dir):
 
 
 def simple_ids(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"GSE\d+|SAMN\d+"), 0))).alias("value"))
+    return matching.distinct_values(docs(spark, sf_dir))
+
+
+def headings_cut(spark, sf_dir):
+    """The oldest rule for bibliographies."""
+    return segment.divided_by_headings(docs(spark, sf_dir)).select("doc_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), F.md5(F.col("refs").cast("binary")).alias("refs_md5"))
 
 
 def article_context(spark, sf_dir):
@@ -262,8 +301,7 @@ def datasets_by_article(spark, sf_dir):
 
 
 def resolver_summary(spark, sf_dir):
-    r = _references(spark, sf_dir)
-    return validate.resolver_summary(r, validate.resolve(r, sql_of(spark, sf_dir, INDEX, "part")))
+    return validate.resolver_summary(_references(spark, sf_dir), sql_of(spark, sf_dir, INDEX, "part"))
 
 
 QUERIES = {
@@ -271,7 +309,7 @@ QUERIES = {
     for f in (
         doi_mentions, match_offsets, doi_valid, accession_valid, recovery_pass, keyword_clusters, reference_cut, last_heading_cut, divided, year_line_filter, spaced_headings, balanced_ids,
         availability_header, availability_statement, catalog_group_sets, majority_filter, xml_filter, union_mentions, rule_labels, cite_marks, line_contexts, sentence_contexts, fixed_windows,
-        smart_chunks, heading_chunks, normalise_nfkc, page_text, xml_documents, page_plain_text, simple_ids, article_context, doi_triage, datasets_by_article, resolver_summary,
+        smart_chunks, heading_chunks, normalise_nfkc, page_text, xml_documents, repository_snippets, label_links, quotes_and_authors, link_repairs, headings_cut, page_plain_text, simple_ids, article_context, doi_triage, datasets_by_article, resolver_summary,
     )
 }
 
@@ -305,6 +343,17 @@ def _offsets(pattern, start="s", end="e"):
     )
 
 
+_HITS = ", ".join(f"h{k} AS (WITH {_offsets(w)} SELECT doc_id, t, s, e, '{p}' AS prefix FROM p)" for k, (p, w) in enumerate(rules.REPOSITORY_WORDS.items()))
+_CLUSTERS = f"""{_HITS}, u AS ({" UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(len(rules.REPOSITORY_WORDS)))}),
+      g AS (SELECT *, CASE WHEN s - lag(e) OVER w < 50 THEN 0 ELSE 1 END AS new FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY s, e, prefix)),
+      n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e, prefix ROWS UNBOUNDED PRECEDING) AS k FROM g),
+      q AS (SELECT doc_id, k, arg_min(prefix, (s, e, prefix)) AS prefix, min(s) AS cluster_start, arg_max(e, (s, e)) AS cluster_end, any_value(t) AS t FROM n GROUP BY doc_id, k),
+      c AS (SELECT doc_id, prefix, cluster_start, cluster_end, trim(substr(t, greatest(cluster_start - 100, 0) + 1, cluster_end + 100 - greatest(cluster_start - 100, 0)), ' ') AS context FROM q)"""
+# RE2 has no look-around. What the DOI's looks at is always so; book numbers stand at the end of a text alone, where none is.
+_SIMPLE = " UNION ALL ".join(
+    f"SELECT doc_id, '{n}' AS pattern_name, unnest(regexp_extract_all(t, '{p}', 1)) AS value FROM t"
+    for n, p in (rules.SIMPLE_PATTERNS | {"doi": rules.SIMPLE_PATTERNS["doi"].replace(r"(?:\b|(?<!https://))", "")}).items() if n != "isbn"
+)
 CONTAINS_JOURNAL = "len(list_filter([" + ", ".join(f"'{j}'" for j in rules.JOURNALS) + "], lambda j: contains(lower(d), j))) > 0"
 SQL = {
     "doi_mentions": f"WITH {_mentions('doi', 'doi2')} SELECT doc_id, pattern_name, value, dataset_id FROM m",
@@ -317,11 +366,9 @@ SQL = {
       b AS (WITH {_offsets('(?i)' + dict((n, p) for n, _, p in rules.PATTERNS)['biosample_id'])} SELECT doc_id, t, v, s, e, 'biosample_id' AS pattern_name FROM p), u AS (SELECT * FROM g UNION ALL SELECT * FROM b)
       SELECT doc_id, pattern_name, v AS dataset_id, s AS start FROM u WHERE v IN (SELECT id FROM c) AND
         regexp_matches(substr(t, greatest(s - 5000, 0) + 1, e + 5000 - greatest(s - 5000, 0)), CASE pattern_name WHEN 'geo_id' THEN '(?i){rules.CONTEXT['geo'][1]}' ELSE '(?i){rules.CONTEXT['biosample'][1]}' END)""",
-    "keyword_clusters": f"""WITH {T}, a AS (WITH {_offsets(rules.REPOSITORY_WORDS['10.5061'])} SELECT doc_id, t, s, e, '10.5061' AS prefix FROM p), b AS (WITH {_offsets(rules.REPOSITORY_WORDS['10.5281'])} SELECT doc_id, t, s, e, '10.5281' AS prefix FROM p),
-      u AS (SELECT * FROM a UNION ALL SELECT * FROM b), g AS (SELECT *, CASE WHEN s - lag(e) OVER w < 50 THEN 0 ELSE 1 END AS new FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY s, e, prefix)),
-      n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e, prefix ROWS UNBOUNDED PRECEDING) AS k FROM g),
-      q AS (SELECT doc_id, k, arg_min(prefix, (s, e, prefix)) AS prefix, min(s) AS cluster_start, arg_max(e, (s, e)) AS cluster_end, any_value(t) AS t FROM n GROUP BY doc_id, k)
-      SELECT doc_id, prefix, cluster_start, cluster_end, trim(substr(t, greatest(cluster_start - 100, 0) + 1, cluster_end + 100 - greatest(cluster_start - 100, 0)), ' ') AS context FROM q""",
+    "keyword_clusters": f"WITH {T}, {_CLUSTERS} SELECT doc_id, prefix, cluster_start, cluster_end, context FROM c",
+    "repository_snippets": f"""WITH {T}, {_CLUSTERS}, f AS (SELECT doc_id, prefix, context, min(cluster_start) AS s FROM c GROUP BY ALL)
+      SELECT doc_id, prefix AS registrant, string_agg(context, '' ORDER BY s) AS snippet FROM f GROUP BY doc_id, prefix""",
     "reference_cut": f"""WITH {T}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS pos, len(string_split(t, chr(10))) AS n FROM t),
       b AS (SELECT doc_id, pos, n, trim(line, ' \t\r') AS bare FROM l), f AS (SELECT *, CAST(regexp_matches(bare, '{segment.CITATION}') AS INT) AS cites FROM b),
       w AS (SELECT *, coalesce(sum(cites) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING), 0) AS ahead, sum(cites) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS dense FROM f),
@@ -330,7 +377,7 @@ SQL = {
     "year_line_filter": f"WITH {T} SELECT doc_id, md5(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '\\(\\d{{4}}[a-z]?\\) A title\\.')), chr(10))) AS kept_md5 FROM t",
     "balanced_ids": "WITH s AS (SELECT p_partkey, '10.5061/' || CASE WHEN p_partkey % 3 = 0 THEN '(' ELSE '' END || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN ')' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN '[a]' ELSE '' END AS s FROM part) SELECT p_partkey, s FROM s WHERE (p_partkey % 3 = 0) = (p_partkey % 2 = 0)",
     "availability_header": f"""WITH t AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Data availability: all data are in the archive.' ELSE '' END AS t FROM documents),
-      h AS (SELECT doc_id, t, strpos(t, regexp_extract(t, '{rules.AVAILABILITY_HEADER}')) AS pos FROM t WHERE regexp_matches(t, '{rules.AVAILABILITY_HEADER}')) SELECT doc_id, CAST(pos AS INTEGER) AS pos, trim(substr(t, pos, 500), ' ') AS statement FROM h""",
+      h AS (SELECT doc_id, t, strpos(t, regexp_extract(t, '{rules.AVAILABILITY_HEADER}')) AS pos FROM t WHERE regexp_matches(t, '{rules.AVAILABILITY_HEADER}')) SELECT doc_id, CAST(pos AS INTEGER) AS pos, regexp_replace(substr(t, pos, 500), '^\\s+|\\s+$', '', 'g') AS statement FROM h""",
     "catalog_group_sets": f"WITH c AS ({CATALOG}) SELECT id, list_sort(list(DISTINCT pmc) FILTER (pmc IS NOT NULL)) AS pmc_ids, coalesce(list_sort(list(DISTINCT ext) FILTER (ext IS NOT NULL)), []) AS ext_ids FROM c GROUP BY id",
     "majority_filter": f"""WITH {_mentions('doi', *ACCESSIONS)}, c AS ({CATALOG}), a AS (SELECT doc_id // 8 AS article, doc_id, dataset_id, starts_with(dataset_id, 'https://doi.org/') AS is_doi FROM m),
       sp AS (SELECT DISTINCT id, pmc FROM c WHERE pmc IS NOT NULL), se AS (SELECT DISTINCT id, ext FROM c WHERE ext IS NOT NULL),
@@ -342,7 +389,7 @@ SQL = {
     "union_mentions": f"WITH {_mentions('doi', 'doi2')} SELECT doc_id, dataset_id, CASE pattern_name WHEN 'doi' THEN 'body' ELSE 'references' END AS section FROM m",
     "rule_labels": f"WITH {_mentions('doi', *ACCESSIONS)} SELECT doc_id, dataset_id, CASE WHEN starts_with(dataset_id, 'SAMN') THEN 'Primary' ELSE 'Secondary' END AS type FROM m",
     "fixed_windows": "WITH p AS (SELECT doc_id, text, unnest(range(0, greatest(len(text), 1), 400)) AS k FROM documents WHERE len(text) > 0) SELECT doc_id, CAST(k // 400 AS INTEGER) AS pos, md5(substr(text, k + 1, 500)) AS window_md5 FROM p",
-    "simple_ids": f"WITH {T} SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, 'GSE\\d+|SAMN\\d+')) AS value FROM t",
+    "simple_ids": f"WITH {T} SELECT DISTINCT * FROM ({_SIMPLE})",
     "line_contexts": f"""WITH {T}, {_offsets('GSE\\d+')}, h AS (SELECT doc_id, t, s, e, len(string_split(left(t, s), chr(10))[-1]) AS head, len(string_split(substr(t, e + 1), chr(10))[1]) AS tail FROM p)
       SELECT doc_id, s AS start, substr(t, greatest(s - 200, s - head) + 1, least(e + 100, e + tail) - greatest(s - 200, s - head)) AS context FROM h""",
     "article_context": f"""WITH {_mentions('doi')}, d AS (SELECT m.doc_id, dataset_id, split_part(regexp_replace(dataset_id, '^https://doi.org/', ''), '/', 1) AS r, source FROM m JOIN documents USING (doc_id))
@@ -352,7 +399,7 @@ _RAW = "r AS" + _mentions("doi", "doi2", *ACCESSIONS).split(", r AS", 1)[1].spli
 SQL |= {
     "xml_documents": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'tei' WHEN 1 THEN 'jats' WHEN 2 THEN 'wiley' WHEN 3 THEN 'bioc' ELSE 'unknown' END AS kind, CASE p_partkey % 6
       WHEN 0 THEN p_name || chr(10) || 'Brand ' || p_brand || ', size ' || CAST(p_size AS STRING) || chr(10) || 'References' || chr(10) || 'Smith J (2020) ' || p_type || '.'
-      WHEN 1 THEN p_name || chr(10) || 'Brand ' || p_brand || ', size ' || CAST(p_size AS STRING) || chr(10) || 'Thanks.' || chr(10) || 'References' || chr(10) || p_type || '.'
+      WHEN 1 THEN p_name || chr(10) || 'Brand ' || p_brand || ', size ' || CAST(p_size AS STRING) || chr(10) || 'Acknowledgements' || chr(10) || 'Thanks.' || chr(10) || 'References' || chr(10) || p_type || '.'
       WHEN 2 THEN p_name || chr(10) || 'Brand ' || p_brand || ', size ' || CAST(p_size AS STRING) || chr(10) || 'References' || chr(10) || p_type || '.'
       WHEN 3 THEN 'Smith J. ' || p_name || '.' || chr(10) || p_type WHEN 4 THEN p_name || ' Brand ' || p_brand || ' , size ' || CAST(p_size AS STRING) ELSE '' END AS text,
       CASE WHEN p_partkey % 6 = 5 THEN 'failed' ELSE 'standard' END AS method FROM part""",
@@ -362,10 +409,40 @@ SQL |= {
     "last_heading_cut": f"""WITH {T}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS pos, len(string_split(t, chr(10))) AS n FROM t),
       f AS (SELECT *, CAST(regexp_matches(line, '{segment.LOOSE_CITATION}') AS INT) AS cites FROM l), w AS (SELECT *, coalesce(sum(cites) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), 0) AS ahead FROM f)
       SELECT doc_id, CAST(max(pos) AS INTEGER) AS cut FROM w WHERE pos > floor(n * 0.3) AND regexp_matches(trim(line, ' '), '{segment.HEADING[:-1]}') AND (ahead > 0 OR pos >= n - 3) GROUP BY doc_id""",
-    "spaced_headings": f"""WITH {T}, l AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: CASE WHEN regexp_matches(rtrim(x, ' '), '{segment.HEADING}') THEN chr(10) || chr(10) || rtrim(x, ' ') || chr(10) || chr(10) ELSE x END) AS x FROM t)
-      SELECT doc_id, CAST(len(array_to_string(x, chr(10))) AS INTEGER) AS n_chars FROM l""",
-    "cite_marks": f"WITH {T} SELECT doc_id, replace(substr(t, greatest(len(t) - 500, 0) + 1), '10.5061/dryad.' || CAST(doc_id % 97 AS STRING) || 'abcd', '<cite>10.5061/dryad.' || CAST(doc_id % 97 AS STRING) || 'abcd</cite>') AS marked FROM t",
+    "spaced_headings": f"""WITH {T}, h AS (SELECT doc_id, t || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'References Cited.' || chr(10) || 'REFERENCES ' || chr(10) || '2. Bibliography' || chr(10) || 'the References' ELSE '' END AS t FROM t),
+      l AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: CASE WHEN regexp_matches(rtrim(x, ' \t\r'), '{segment.HEADING}') AND NOT ends_with(rtrim(x, ' \t\r'), '.') THEN chr(10) || chr(10) || rtrim(x, ' \t\r') || chr(10) || chr(10) ELSE x END) AS x FROM h)
+      SELECT doc_id, md5(array_to_string(x, chr(10))) AS text_md5 FROM l""",
+    "cite_marks": f"""WITH {T}, d AS (SELECT doc_id, {CITING.format(t='t')} AS t, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'GSE' || CAST(10000 + doc_id % 50 AS STRING) ELSE 'https://doi.org/10.5061/dryad.' || CAST(doc_id % 97 AS STRING) || 'abcd' END AS i FROM t)
+      SELECT doc_id, CASE WHEN i IS NULL THEN t ELSE regexp_replace(regexp_replace(t, regexp_escape(i), CASE WHEN doc_id % 5 = 0 THEN '<cite>Accession IDs</cite>' ELSE '<cite>DOI</cite>' END, 'gi'), 'https?://[^\\s<>"]+', '', 'g') END AS marked FROM d""",
+    "availability_statement": """WITH s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'The data were deposited in Dryad under number ' || CAST(doc_id AS VARCHAR) || '.' END AS s, CASE WHEN doc_id % 4 = 0 THEN 'Data Availability: on request.' END AS h FROM documents)
+      SELECT doc_id, CASE WHEN s IS NULL THEN h WHEN h IS NULL THEN s ELSE s || chr(10) || h END AS statement, CASE WHEN s IS NOT NULL AND h IS NOT NULL THEN 'hybrid' WHEN h IS NOT NULL THEN 'header' WHEN s IS NOT NULL THEN 'sentence' ELSE 'none' END AS method FROM s""",
+    "sentence_contexts": f"""WITH {T}, {_offsets('GSE\\d+')}, w AS (SELECT doc_id, s, v, substr(t, greatest(s - 400, 0) + 1, least(s, 400)) AS l2, substr(t, greatest(s - 200, 0) + 1, least(s, 200)) AS l1, substr(t, e + 1, 200) AS r2, substr(t, e + 1, 100) AS r1 FROM p),
+      z AS (SELECT doc_id, s, CASE WHEN regexp_matches(l2, '[.!?\n。！？]') THEN regexp_replace(l2, '(?s)^.*?[.!?\n。！？]\\s*', '') ELSE l1 END || v || CASE WHEN regexp_matches(r2, '[.!?\n。！？]') THEN regexp_extract(r2, '(?s)^.*[.!?\n。！？]') ELSE r1 END AS c FROM w)
+      SELECT doc_id, s AS start, regexp_replace(c, '^\\s+|\\s+$', '', 'g') AS context FROM z""",
+    "label_links": """SELECT p_partkey, 'see (' || u || ') or  end  - (' || u || '); [' || p_name || ' and a label far too long to go](' || d || ') [x](' || d || ')(' || lower(d) || ')(' || d || ').' AS urls,
+      'see [here](' || u || ') or (' || u || ')(' || u || ') end (' || u || ') - (' || u || '); [' || p_name || ' and a label far too long to go](' || d || ') .' AS dois
+      FROM (SELECT p_partkey, p_name, 'http://e.org/' || CAST(p_partkey AS VARCHAR) AS u, '10.1234/Ab' || CAST(p_partkey AS VARCHAR) AS d FROM part)""",
+    "quotes_and_authors": "SELECT p_partkey, p_name || '; ' || chr(39) || p_brand || chr(39) AS authors FROM part",
+    "link_repairs": """SELECT p_partkey, 'a https://doi.org/10.1234/x' || k || '-b-c-d-e (see 10.1234/ab' || k || 'cd) https://doi.org/10.5061/z' || k || ' doi.org/10.99999/q' || k || '.rest, and 10.4321/p. DATA end' AS text FROM (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS k FROM part)""",
+    "page_plain_text": """SELECT page_id, trim(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS text FROM pages""",
 }
+SQL |= {
+    "divided": f"""WITH c AS ({SQL["reference_cut"]}), {T}, l AS (SELECT t.doc_id, string_split(t, chr(10)) AS l, coalesce(cut, len(string_split(t, chr(10)))) AS cut FROM t LEFT JOIN c USING (doc_id)),
+      r AS (SELECT doc_id, trim(array_to_string(l[1:cut], chr(10)), ' \t\r\n') AS body, trim(array_to_string(l[cut + 1:], chr(10)), ' \t\r\n') AS refs FROM l)
+      SELECT doc_id, CAST(len(body) AS INTEGER) AS n_body, CAST(len(refs) AS INTEGER) AS n_refs, md5(refs) AS refs_md5 FROM r""",
+    "normalise_nfkc": """SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), 'https?://zenodo\\.org/record/(\\d+)', ' 10.5281/zenodo.\\1 ', 'g'), ' \t\n\r\x0b\x0c') AS text FROM documents""",
+}
+
+
+def _page(c):
+    """The rewrites of page scans in RE2: its one look-ahead guards words that these texts hold nowhere behind a DOI."""
+    steps = [("<br>", ""), (r"(\d+\.)\s+(\d+)", "$1$2"), (r"/\s", "/"), (r"\\_", "_"), *rules.LINK_REPAIRS, (r"(^|[^.\n])\n", "$1 ")]
+    for pattern, put in steps:
+        c = f"regexp_replace({c}, '{pattern.replace(r'(?!(?:DATAS?|RESULTS?|DISCUSSIONS?|REFERENCES?|CONFLICT|ORCID|ACKNOWLEDGMENTS?|References?)' + chr(92) + 'b)', '')}', '{put.replace('$', chr(92))}', 'g')"
+    return c
+
+
+SQL["page_text"] = f"WITH {T} SELECT doc_id, {_page('t')} AS text FROM t"
 _TRIAGE = (
     "b AS (SELECT article_id, doi, regexp_replace(doi, '^https?://doi.org/', '') AS d FROM r), k AS (SELECT *, CASE WHEN len(list_filter(["
     + ", ".join(f"'{p}'" for p in rules.REPOSITORIES)
@@ -381,6 +458,8 @@ _RESOLVED = f"WITH r AS ({REFERENCES}), {_TRIAGE}, i AS ({INDEX}), z AS (SELECT
 SQL |= {
     "doi_triage": f"WITH r AS ({REFERENCES}), {_TRIAGE} SELECT kind, count(*) AS n FROM k GROUP BY kind",
     "datasets_by_article": f"{_RESOLVED} SELECT replace(regexp_replace(article_id, '^https?://doi.org/', ''), '/', '_') AS article_key, list_sort(list(doi)) AS datasets FROM z GROUP BY 1",
-    "resolver_summary": f"""{_RESOLVED} SELECT (SELECT count(DISTINCT article_id) FROM k) AS total_articles, (SELECT count(*) FROM k) AS total_dois, (SELECT count(*) FROM k WHERE kind = 'dataset') AS n_dataset,
-      (SELECT count(*) FROM k WHERE kind = 'lookup') AS n_lookup, (SELECT count(*) FROM k WHERE kind = 'drop') AS n_drop, count(DISTINCT doi) AS total_unique_datasets, count(DISTINCT article_id) AS articles_with_datasets FROM z""",
+    "resolver_summary": f"""{_RESOLVED}, c AS (SELECT (SELECT count(DISTINCT article_id) FROM k) AS total_articles, (SELECT count(*) FROM k) AS total_dois, (SELECT count(*) FROM k WHERE kind = 'dataset') AS n_dataset,
+      (SELECT count(*) FROM k WHERE kind = 'lookup') AS n_lookup, (SELECT count(*) FROM k WHERE kind = 'drop') AS n_drop, count(*) AS total_datasets_found, (SELECT count(*) FROM k WHERE kind = 'lookup') - count(*) FILTER (kind = 'lookup') AS filtered_dois,
+      count(DISTINCT doi) AS total_unique_datasets, count(DISTINCT article_id) AS articles_with_datasets FROM z)
+      SELECT *, round(articles_with_datasets / total_articles, 9) AS articles_share, round((total_datasets_found - n_dataset) / n_lookup, 9) AS lookup_success FROM c""",
 }

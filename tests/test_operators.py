@@ -170,3 +170,161 @@ def test_rule_tables():
     assert len(set(rules.JOURNALS)) == 153
     for _, _, p in rules.PATTERNS:
         re.compile(p)
+
+
+def test_one_text_with_very_many_matches(spark):
+    import time
+
+    d = spark.createDataFrame([("GSE12 x " * 100_000,)], "t string").cache()
+    d.count()
+    count = lambda: d.select(F.size(matching.all_matches(F.col("t"), r"GSE\d+")).alias("n"), F.element_at(matching.all_matches(F.col("t"), r"GSE\d+"), -1)["end"].alias("e")).first()
+    count()
+    began = time.perf_counter()
+    assert tuple(count()) == (100_000, 8 * 100_000 - 3)
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "want"),
+    [
+        ("[click](http://e.com/a)", "url", "(http://e.com/a)"),
+        ("[" + "x" * 31 + "](http://e.com/a)", "url", "[" + "x" * 31 + "](http://e.com/a)"),
+        ("(http://e.com/a)(http://e.com/a)(http://e.com/a)", "url", "(http://e.com/a)"),
+        ("(http://a.b)(http://c.d)(http://c.d)(http://a.b) z", "url", " z"),
+        ("(10.1234/ab)(10.1234/ab)", "doi", "(10.1234/ab)"),
+        ("[x](10.1234/Ab(1)) and (10.1234/ab) or (10.1234/AB)", "doi", "[x](10.1234/Ab(1)) and (10.1234/ab) or "),
+        ("", "url", ""),
+        (None, "doi", None),
+    ],
+)
+def test_without_labels(spark, text, kind, want):
+    assert one(spark, text, lambda c: tx.without_labels(c, kind)) == want
+
+
+def test_sentence_context_reaches_out(spark):
+    text = "x" * 30 + ". " + "a" * 390 + " GSE1 " + "b" * 90 + "。" + "c" * 500
+    got = spark.createDataFrame([(text,)], "t string").select(F.inline(matching.all_matches(F.col("t"), r"GSE\d")), "t")
+    got = got.select(matching.sentence_context(F.col("t"), F.col("start"), F.col("end")).alias("c")).first()["c"]
+    assert got == "a" * 390 + " GSE1 " + "b" * 90 + "。"
+    none = "y" * 900 + "GSE1" + "z" * 900
+    got = spark.createDataFrame([(none,)], "t string").select(matching.sentence_context(F.col("t"), F.lit(900), F.lit(904)).alias("c")).first()["c"]
+    assert got == "y" * 200 + "GSE1" + "z" * 100
+
+
+def test_requests_that_repeat(spark):
+    t = datetime(2024, 1, 1)
+    now = F.expr("TIMESTAMP_NTZ '2023-12-31 00:00:00'")
+    locks = spark.createDataFrame([("a", "u1", t, True), ("b", "u2", t, True)], "lock_token string, locked_by string, expires_at timestamp_ntz, is_active boolean")
+    asks = spark.createDataFrame([("a", "u9", 1), ("a", "u1", 10), ("a", "u1", 20), ("b", "u1", 5)], "token string, user_id string, seconds int")
+    assert sorted((r["lock_token"], r["is_active"]) for r in orders.release(locks, asks).collect()) == [("a", False), ("b", True)]
+    assert sorted((r["lock_token"], r["expires_at"].second) for r in orders.extend(locks, asks, now).collect()) == [("a", 30), ("b", 0)]
+    have = spark.createDataFrame([(1, "P", "s", t, 1), (2, "P", "s", t, 3)], "order_id int, status string, updated_by string, updated_at timestamp_ntz, version int")
+    patches = spark.createDataFrame([(1, 1, "u2", "B"), (1, 1, "u1", "A"), (1, 2, "u0", "C"), (2, 1, "u1", "A"), (2, 2, "u1", "B")], "order_id int, expected_version int, user_id string, status string")
+    got = sorted((r["order_id"], r["status"], r["updated_by"], r["version"], r["result"]) for r in orders.amend(have, patches, now, ("status",)).collect())
+    assert got == [(1, "A", "u1", 2, "amended"), (2, "P", "s", 3, "conflict")]
+
+
+def test_classifier_tasks(spark):
+    rows = [
+        (1, "https://doi.org/10.1/a", "body", "Secondary", "text", "A", "doi", "Primary"),
+        (2, "GSE1", "body", "Secondary", "was deposited", "C", "accession", None),
+        (3, "GSE1", "body", "Secondary", "was seen", "A", None, "Secondary"),
+        (4, "EPI_ISL_1", "body", "Primary", "deposited", "B", None, "Primary"),
+        (5, "GSE1", "references", "Secondary", "x", None, "reference", "Secondary"),
+        (6, "GSE1", "body", None, "deposited", "A", None, None),
+    ]
+    d = spark.createDataFrame([r[:5] for r in rows], "doc_id int, dataset_id string, section string, type string, context string")
+    tasks = label.asked(d)
+    assert {r["doc_id"]: r["task"] for r in tasks.collect()} == {r[0]: r[6] for r in rows}
+    answers = spark.createDataFrame([(r[0], r[5]) for r in rows], "doc_id int, choice string")
+    assert {r["doc_id"]: r["type"] for r in label.answered(tasks, answers, ["doc_id"]).collect()} == {r[0]: r[7] for r in rows}
+    told = tasks.withColumns({"statement": F.lit("s" * 2000), "snippet": F.lit("Dryad ")})
+    assert {r["doc_id"]: (r["data_information"] or "")[:8] for r in label.prompts(told).collect()} == {1: "", 2: "ssssssss", 3: "", 4: "", 5: "Dryad ss", 6: ""}
+
+
+def test_row_ids_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(label, "RANGE_ROWS", 50)
+    d = spark.createDataFrame([(k % 7, k) for k in range(1000)] + [(None, 5), (3, None)], "a int, b int")
+    got = [(r["a"], r["b"]) for r in label.with_row_ids(d, "a", "b").orderBy("row_id").collect()]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert got == sorted(((r["a"], r["b"]) for r in d.collect()), key=key)
+
+
+def test_last_headings():
+    assert segment.last_headings("body\nREFERENCES\n[1] a\nreferences: b") == ("body", "REFERENCES\n[1] a\nreferences: b")
+    assert segment.last_headings("one\n[1] a\n[2] b") == ("one", "[1] a\n[2] b")
+    assert segment.last_headings("a\nb\nc\nd\n7. x\n8. y\n9. z") == ("a\nb\nc\nd", "7. x\n8. y\n9. z")
+    assert segment.last_headings("plain") == ("plain", "")
+    assert segment.last_headings(None) == ("", "")
+
+
+def test_xml_front_and_back():
+    a = (
+        "<article><front><article-title>My Title</article-title><abstract><p>Abs</p></abstract></front><body><sec><title>One</title><p>A <i>b</i></p></sec></body><back><ack><p>Thanks.</p></ack>"
+        '<notes notes-type="data-availability"><p>N</p><fn-group><fn>F</fn></fn-group></notes><sec><title>Supplementary data</title><p>S</p></sec><ref-list><ref><article-title>Ref title one</article-title></ref></ref-list></back></article>'
+    )
+    assert xmltext.extract(a, "jats")[0].split("\n") == ["My Title", "Abs", "One", "A b", "Acknowledgements", "Thanks.", "Data availability", "N", "F", "Supplementary data", "S", "References", "Ref title one."]
+    w = (
+        '<component xmlns="http://www.wiley.com/namespaces/wiley"><header><contentMeta><titleGroup><title type="short">S</title><title type="main">Main <i>t</i></title></titleGroup><creators><creator creatorRole="author">'
+        "<personName><givenNames>Ann B</givenNames><familyName>Lee</familyName></personName></creator><creator creatorRole='editor'><personName><familyName>Ed</familyName></personName></creator></creators><abstractGroup>"
+        '<abstract type="main"><title>x</title><p>Abs p.</p></abstract></abstractGroup></contentMeta></header><body><section><title>T</title><p>P</p></section><bibliography><bib><citation>Smith J A Tale</citation></bib></bibliography></body></component>'
+    )
+    assert xmltext.extract(w, "wiley")[0].split("\n") == ["Main t", "Ann B Lee", "Abstract", "Abs p.", "T", "P", "References", "Smith J A. Tale."]
+    deep = "<article><body>" + "<sec>" * 5000 + "<p>x</p>" + "</sec>" * 5000 + "</body></article>"
+    assert xmltext.extract(deep, "jats")[:2] == ("x", "standard")
+    assert xmltext.extract("<a>" * 3000 + "x" + "</a>" * 3000, "unknown")[:2] == ("x", "standard")
+
+
+def test_xml_encodings(spark, tmp_path):
+    for name, raw in {"a": '<?xml version="1.0" encoding="iso-8859-1"?><a>é</a>'.encode("latin-1"), "b": "<a>é</a>".encode("utf-16"), "c": "<a>é</a>".encode("cp1252"), "d": "\ufeff<a>é</a>".encode()}.items():
+        (tmp_path / f"{name}.xml").write_bytes(raw)
+    got = {r["article_id"]: xmltext.extract(r["content"], "unknown")[0] for r in files.xml_directory(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys("abcd", "é")
+
+
+def test_more_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "pub.json").write_text('{"10.1/a": ["GSE1", "10.2/b"], "10.1/c": []}')
+    assert sorted(map(tuple, files.publication_datasets(spark, str(tmp_path / "pub.json")).collect())) == [("10.1_a", ["GSE1", "10.2/b"]), ("10.1_c", [])]
+    resolved = spark.createDataFrame([("10.1/a", "10.5281/z"), ("10.1/a", "10.5061/y"), ("10.1/b", "10.5061/y")], "article_id string, doi string")
+    files.write_datasets(resolved, str(tmp_path / "one"))
+    got = json.loads(spark.read.text(str(tmp_path / "one")).first()[0])
+    assert got == {"datasets_by_article": {"10.1_a": ["10.5061/y", "10.5281/z"], "10.1_b": ["10.5061/y"]}, "all_datasets": ["10.5061/y", "10.5281/z"], "summary": {"articles_with_datasets": 2, "total_unique_datasets": 2}}
+    files.write_datasets(resolved, str(tmp_path / "many"), one_file=False)
+    assert spark.read.text(str(tmp_path / "many" / "all_datasets")).count() == 2
+    (tmp_path / "1").mkdir()
+    (tmp_path / "2").mkdir()
+    (tmp_path / "1" / "x.pdf").write_bytes(b"one|" + b"y" * 1200 + b"|three")
+    (tmp_path / "2" / "y.pdf").write_bytes(b"z")
+    pages = files.binary_directory(spark, str(tmp_path / "1"), lambda raw: raw.decode().split("|")).first()
+    assert (pages["article_id"], pages["cover"], pages["text"][:5]) == ("x", "one\n" + "y" * 1200, "one\ny")
+    assert sorted(map(tuple, files.folder_labels(spark, f"{tmp_path}/[12]").collect())) == [("x.pdf", 0), ("y.pdf", 1)]
+    vec = files.embeddings_for(spark.createDataFrame([("a 1 2",), ("bad 1",)], "value string"), spark.createDataFrame([("a", 0), ("bad", 1)], "token string, id int"), size=2).orderBy("id").collect()
+    assert vec[0]["vector"] == [1.0, 2.0]
+    assert len(vec[1]["vector"]) == 2
+
+
+def test_seed_orders(spark):
+    from lodestone import schemas
+
+    assert [r["order_number"] for r in schemas.seed_orders(spark).collect()] == ["ORD-001", "ORD-002", "ORD-003"]
+
+
+def test_remaining_text_functions(spark):
+    assert one(spark, "a​<br/>b 1. 2 / c\n\n\nd\n&e", tx.generic_clean) == "ab 1.2 /c\nd&e"
+    assert one(spark, "https://doi.org/10.1234/a/b", tx.last_segment) == "b"
+    assert one(spark, "10.1234 / ab 10.5/ x", tx.xml_doi_space) == "10.1234/ab 10.5/ x"
+    assert one(spark, 'x\n- <span id="page-1">\ny', tx.without_span_lines) == "x\ny"
+    assert one(spark, "# T\nbody\n## **References**\n1", segment.markdown_cut) == "# T\nbody\n"
+    assert one(spark, "One. Two! Three", segment.sentences) == ["One.", "Two!", "Three"]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lodestone import storage
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="share"):
+        storage.shared_dir(fake)

@@ -2,9 +2,9 @@
 
 import pytest
 
-from lodestone.plans import citations, features, records
+from lodestone.plans import citations, features, mining, records
 
-MODULES = (citations, records, features)
+MODULES = (citations, mining, records, features)
 
 
 @pytest.mark.parametrize(("module", "name"), [(m, n) for m in MODULES for n in m.SQL], ids=lambda x: x if isinstance(x, str) else "")
