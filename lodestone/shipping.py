@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -16,7 +17,8 @@ def ship(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         here = Path(__file__).resolve().parent
-        out = Path(tempfile.mkdtemp()) / "package"
+        out = Path(tempfile.mkdtemp()) / "package"  # served by the driver as long as the application runs
+        atexit.register(shutil.rmtree, out.parent, ignore_errors=True)
         shutil.copytree(here, out / here.name, ignore=shutil.ignore_patterns("__pycache__"))
         spark.sparkContext.addPyFile(shutil.make_archive(f"{out}-{app}", "zip", out))
         shutil.rmtree(out)

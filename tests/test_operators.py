@@ -328,3 +328,18 @@ def test_no_local_folder_on_a_cluster():
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="share"):
         storage.shared_dir(fake)
+
+
+def test_jdbc(spark):
+    url, driver = "jdbc:derby:memory:orders;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.createDataFrame([(k, f"n{k}") for k in range(20)], "id int, name string").write.option("driver", driver).jdbc(url, "t")
+    assert files.jdbc(spark, url, "t", driver=driver).where("id > 16").count() == 3
+    split = files.jdbc(spark, url, "t", driver=driver, column="ID", low=0, high=20, parts=4)
+    assert split.rdd.getNumPartitions() == 4
+    assert split.count() == 20
+
+
+def test_wider_windows_for_raw_texts(spark):
+    d = spark.createDataFrame([(1, "GSE1234 " + "x" * 6000 + " genome", "")], "doc_id int, body string, refs string")
+    near = lambda n: [r["near"] for r in matching.mentions(d, names=("geo_id",), widen=n).collect()]
+    assert (near(1), near(2)) == ([False], [True])
