@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACED, materialise
+from .common import SPACED, materialise, used_up
 
 SEED = "mix-1"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -97,7 +97,8 @@ def mixture(spark: SparkSession, docs: DataFrame, *, text="text", source="source
     per = rows.groupBy("skey").agg(F.max("turns").alias("__turns"), F.max(F.when((F.col("size") > 0) & (F.col("before") < F.col("rest")), F.col("key"))).alias("__cut"))
     per = materialise(spark, per.withColumnRenamed("skey", "__skey"), "cuts")
     tie = rows.join(per, (F.col("skey") == F.col("__skey")) & (F.col("key") == F.col("__cut"))).groupBy("__skey").agg(F.sum(more()).alias("__left"), F.count("*").alias("__rows"))
-    per = materialise(spark, per.join(tie, "__skey", "left"), "cuts")
+    before, per = per, materialise(spark, per.join(tie, "__skey", "left"), "cuts")
+    used_up(spark, rows, before)
     d = docs.withColumns({"__skey": source_key(source), "__key": hash_key(doc_id, text, seed), "__size": words(F.col(text))}).where("__size > 0").join(per, "__skey")
     at_cut = F.coalesce(F.col("__key") == F.col("__cut"), F.lit(False))
 
