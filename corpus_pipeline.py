@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import op1_jaccard, op3_pii, op4_language, op7_mixing, op9_packing
-from lodestone.llm.common import materialise
+from lodestone.llm.common import materialise, used_up
 
 #: No SQL: the first stage learns its model from the rows.
 ORACLE_SQL = None
@@ -55,5 +55,6 @@ STAGES = [("language_id", language_id), ("jaccard_join", jaccard_join), ("pii",
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        used_up(spark, before)
     return docs
