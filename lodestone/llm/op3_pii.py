@@ -9,8 +9,9 @@ placeholder, from ``remove`` on it is dropped. All of df(t, e), df(e), df(t) and
 Whether a pair is more than chance is told by how far its PMI exceeds what is expected: with k different texts of the
 pair and m expected ones, ``k log(k / m) - k + m`` must reach ``surprise`` for the term to go from all documents of the
 entity (by default chance brings such a pair about at most once in 100 times), and ``surprise`` plus the log of the
-number of pairs for it to go from every other document as well. Copies of one text count once in k and m; an entity in
-a single text is settled as soon as the corpus is large enough.
+number of pairs for it to go from every other document as well. Of an entity's texts, those that share one of eight least
+hashes of five words in a row are one in k and m: copies and near copies, whose words all come together, prove nothing.
+An entity in a single text is settled as soon as the corpus is large enough.
 
 Offsets are code points, ends exclusive. Null text is the empty text and has no spans. Repeated rows and null ids are
 treated row by row. Empty table: no rows. Long runs of digits, dots or labels are matched without recursion: signs
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..operators.matching import all_matches
 from .common import materialise, row_key, sieve, sifted, used_up
 
@@ -30,6 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 TERMS = "array<struct<start:int,end:int,action:string>>"
 SIGN, DOT = "\ufdd0", "\ufdd1"
 SURPRISE = 4.6
+SKETCHES = 8
 GENERALISE = 0.7
 REMOVE = 0.9
 TERM = r"\p{L}{3,}"
@@ -96,9 +99,9 @@ def masked(text: Column) -> Column:
 
 
 def find(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id") -> DataFrame:
-    """(dk, tk, spans, forms) of every row, written out; dk tells rows apart by id and text, tk texts. A span has kind,
-    start, end and the entity (numbers by their digits); forms are the different terms of the whole text outside of
-    e-mail addresses."""
+    """(dk, sk, spans, forms) of every row, written out; dk tells rows apart by id and text, sk (of rows with spans) are
+    hashes that near copies share. A span has kind, start, end and the entity (numbers by their digits); forms are
+    the different terms of the whole text outside of e-mail addresses."""
     d = docs.select(row_key(doc_id, text).alias("dk"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     d = d.select("dk", "t", *(c.alias(k) for k, c in base_spans(F.col("t")).items()))
 
@@ -108,7 +111,23 @@ def find(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id")
 
     without = F.when(F.contains("t", F.lit("@")), F.regexp_replace(mail_view(F.col("t")), PATTERNS["email"], " ")).otherwise(F.col("t"))
     forms = F.array_distinct(F.regexp_extract_all(without, F.lit(TERM), 0))
-    return materialise(spark, d.select("dk", F.xxhash64("t").alias("tk"), F.concat(*map(dress, KINDS)).alias("spans"), forms.alias("forms")), "pii")
+    d = d.select("dk", "t", F.concat(*map(dress, KINDS)).alias("spans"), forms.alias("forms"))
+    return materialise(spark, d.select("dk", F.when(F.size("spans") > 0, sketch(F.col("t"))).alias("sk"), "spans", "forms"), "pii")
+
+
+def sketch(text: Column) -> Column:
+    """The least of SKETCHES hashes each over the runs of five words (all words, if there are fewer)."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda k: F.xxhash64(F.array_join(F.slice(w, k + 1, F.lit(5)), " ")))
+    least = lambda h, r: F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(r))))
+    return let(let(words, runs), lambda h: F.array(*(least(h, r) for r in range(SKETCHES))))
+
+
+def kin(held: DataFrame) -> DataFrame:
+    """(dk, entity, tk) of ``held`` (dk, sk, entity): rows of an entity with a sketch in common share tk."""
+    each = held.select("dk", "entity", F.col("sk")[0].alias("own"), F.posexplode("sk").alias("r", "s"))
+    met = each.groupBy("entity", "r", "s").agg(F.min("own").alias("least"))
+    return each.join(met, ["entity", "r", "s"]).groupBy("dk", "entity").agg(F.min("least").alias("tk"))
 
 
 def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, generalise=GENERALISE, remove=REMOVE) -> DataFrame:
@@ -116,7 +135,11 @@ def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, gen
     terms = F.array_distinct(F.transform("forms", lambda x: F.lower(x)))
     df = materialise(spark, found.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df_term")), "pii-df")
     n = float(max(found.count(), 1))
-    held = found.where(F.size("spans") > 0).select("dk", "tk", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"), "forms")
+    some = found.where(F.size("spans") > 0)
+    held = some.select("dk", "sk", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"), "forms")
+    # rows that repeat share dk and stand for themselves in all counts
+    classes = materialise(spark, kin(held.select("dk", "sk", "entity").distinct()), "pii-kin")
+    held = held.join(classes, ["dk", "entity"]).select("dk", "tk", "entity", "forms")
     per_text = held.groupBy("entity", "tk").agg(F.count("*").alias("rows"))
     entities = materialise(spark, per_text.groupBy("entity").agg(F.sum("rows").alias("df_entity"), F.count("*").alias("entity_texts")), "pii-entities")
     # no pair with a term of more documents than this reaches the share; such terms of the commonest are left out at once
@@ -145,7 +168,7 @@ def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, gen
     hits = own.unionByName(words.join(wide, "term").select("dk", "form", "action"))
     hits = hits.groupBy("dk", "form").agg(F.max("action").alias("action")).groupBy("dk").agg(F.map_from_entries(F.collect_list(F.struct("form", "action"))).alias("hits"))
     hits = materialise(spark, hits, "pii-hits")
-    used_up(spark, df, entities, pairs_made, telling, wide, bits)
+    used_up(spark, df, classes, entities, pairs_made, telling, wide, bits)
     return hits
 
 

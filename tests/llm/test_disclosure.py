@@ -6,11 +6,20 @@ import re
 import time
 from collections import defaultdict
 
+import xxhash
+
 from lodestone.llm import op3_pii as P
 
 MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 
+def sketches(text):
+    w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [xxhash.xxh64(" ".join(w[k : k + 5]).encode(), seed=42).intdigest() for k in range(max(1, len(w) - 4))]
+    return [min(signed(xxhash.xxh64(r.to_bytes(4, "little"), seed=xxhash.xxh64(x.to_bytes(8, "little"), seed=42).intdigest()).intdigest()) for x in h) for r in range(P.SKETCHES)]
+
+
 def brute(rows):
     """{row: [(start, end)]} of disclosing terms; entities are e-mail addresses alone."""
     texts = [t or "" for _, t in rows]
@@ -18,6 +27,13 @@ def brute(rows):
     forms = [set(re.findall(r"[^\W\d_]{3,}", b)) for b in blank]
     terms = [{f.lower() for f in x} for x in forms]
     entities = [{m.lower() for m in MAIL.findall(t)} for t in texts]
+    sk = {t: sketches(t) for t in texts}
+
+    def tk(e, text):
+        """Which of the entity's texts this one counts as."""
+        own = [sk[t] for t, x in zip(texts, entities, strict=True) if e in x]
+        return min(s[0] for s in own if any(a == b for a, b in zip(s, sk[text], strict=True)))
+
     n, df, de, dp = len(rows), defaultdict(int), defaultdict(int), defaultdict(int)
     te, tp = defaultdict(set), defaultdict(set)
     for k in range(n):
@@ -25,10 +41,10 @@ def brute(rows):
             df[t] += 1
         for e in entities[k]:
             de[e] += 1
-            te[e].add(texts[k])
+            te[e].add(tk(e, texts[k]))
             for t in terms[k]:
                 dp[e, t] += 1
-                tp[e, t].add(texts[k])
+                tp[e, t].add(tk(e, texts[k]))
     kept, wide = {}, set()
     # pairs with terms that no entity could reach the share with are not tried
     most = max(de.values(), default=0) ** P.GENERALISE * n ** (1 - P.GENERALISE) * 1.001
@@ -77,6 +93,28 @@ def test_terms_like_brute_force(spark, tmp_path):
     assert sum(map(len, spans)) > 50
 
 
+def test_sketches(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["one Two three four five six, seven", "a b", "été 12 — no_1 x y z"]
+    got = [r["s"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(P.sketch(F.col("t")).alias("s")).collect()]
+    assert got == [sketches(t) for t in texts]
+
+
+def test_near_copies_are_no_evidence_elsewhere(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(300)] + ["jo@ex.org"]
+    rows = []
+    for k in range(9):
+        w = list(base)
+        w[rng.randrange(300)] = word()
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join([word() for _ in range(5)] + [base[k % 300]])) for k in range(900)]
+    out = {r["doc_id"]: r["text"] for r in P.sanitise(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[d] != t for d, t in rows[9:]) == 0
+
+
 def test_long_runs_take_linear_time(spark):
     texts = ["9" * 1_000_000 + " a@b.co", "1." * 200_000, "a@b.co " * 20_000, "+1 " * 200_000, "1 " * 300_000, "@" * 300_000, "a." * 300_000 + "@"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").cache()
