@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
+from ..storage import materialise
 
 #: Multipliers of the n-gram hashes.
 FIRST, SECOND = 14918087, 18408749
@@ -36,6 +37,7 @@ def encode(docs: DataFrame, vocab: DataFrame, text="text", key="doc_id", *, size
     few = F.split(trimmed, "" if by_char else " ", 2 * size + 1)
     cut = lambda parts: F.when((F.size(parts) <= 2 * size) | (F.size(full(F.slice(parts, 1, 2 * size))) >= size), full(F.slice(parts, 1, 2 * size))).otherwise(full(F.split(trimmed, "" if by_char else " ")))
     tokens = docs.select(F.col(key), F.slice(let(few, cut), 1, size).alias("__t"))
+    vocab = materialise(vocab.sparkSession, vocab, "vocabulary")
     marks = vocab.where(F.col("token").isin("<UNK>", "<PAD>")).agg(F.max(F.when(F.col("token") == "<UNK>", F.col("id"))).alias("__unk"), F.max(F.when(F.col("token") == "<PAD>", F.col("id"))).alias("__pad"))
     rows = tokens.select(key, F.size("__t").alias("seq_len"), F.posexplode_outer("__t").alias("__at", "token"))
     rows = rows.join(vocab.where(~F.col("token").isin("<UNK>", "<PAD>")), "token", "left")

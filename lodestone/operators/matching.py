@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +44,13 @@ def compiled(ci: bool, pattern: str) -> str:
     return f"(?i){pattern}" if ci else pattern
 
 
+def literal(pattern: str) -> str | None:
+    """Lower-case letters that any match starts with, if the pattern says so plainly: looked for as bytes, they keep most
+    texts away from the pattern."""
+    m = re.match(r"(?:\\b)?([A-Za-z][A-Za-z_:-]{2,})(?![?*{|])", pattern)
+    return m[1].lower() if m and "|" not in re.sub(r"\([^()]*\)|\[[^\]]*\]", "", pattern) else None
+
+
 def mentions(docs: DataFrame, *, names=None, body="body", refs="refs", keep=("doc_id",), widen=1, contexts=False) -> DataFrame:
     """One row a match: ``keep``, pattern_name, priority, section, start, end, value, near, and with ``contexts`` also
     context (whole sentences around the match).
@@ -53,12 +62,14 @@ def mentions(docs: DataFrame, *, names=None, body="body", refs="refs", keep=("do
     section = lambda name: "body" if name in ("doi", "doi2") else "references" if name.startswith("doi_ref") else "all"
     text_of = {"body": "__body", "references": "__refs", "all": "__both"}
     texts = docs.select(*keep, F.col(body).alias("__body"), F.col(refs).alias("__refs"), F.concat(F.col(body), F.lit("\n"), F.col(refs)).alias("__both"))
+    texts = texts.select("*", F.lower("__both").alias("__low"))
     tests = []
     for priority, (name, ci, pattern) in enumerate(rules.PATTERNS, 1):
         if names is None or name in names:
             window, words = rules.CONTEXT.get(database_of(name), (0, ""))
             rule = {"pattern_name": name, "priority": priority, "section": section(name), "__pattern": compiled(ci, pattern), "__window": window * widen, "__words": f"(?i){words}" if words else ""}
-            tests.append(F.when(F.col(text_of[section(name)]).rlike(compiled(ci, pattern)), F.struct(*(F.lit(v).alias(k) for k, v in rule.items()))))
+            has, start = F.col(text_of[section(name)]).rlike(compiled(ci, pattern)), literal(pattern)
+            tests.append(F.when(has if start is None else F.contains("__low", F.lit(start)) & has, F.struct(*(F.lit(v).alias(k) for k, v in rule.items()))))
     # a row a pattern that the text has, then a row a match: what places the matches stands once in the plan, not once a pattern
     rows = texts.select(*keep, "__body", "__refs", "__both", F.explode(F.array_compact(F.array(*tests))).alias("p"))
     text = F.when(F.col("p.section") == "body", F.col("__body")).when(F.col("p.section") == "references", F.col("__refs")).otherwise(F.col("__both"))
@@ -158,7 +169,7 @@ def availability_sentences(text: Column) -> Column:
         pair = F.struct(one(s, rules.AVAILABILITY_WORDS).alias("a"), one(s, rules.REPOSITORY_NAMES).alias("b"))
         return let(pair, lambda p: _snippet(s, p["a"], p["b"]))
 
-    both = lambda s: s.rlike(rules.REPOSITORY_NAMES) & s.rlike(rules.AVAILABILITY_WORDS)
+    both = lambda s: s.rlike(rules.AVAILABILITY_WORDS) & s.rlike(rules.REPOSITORY_NAMES)
     some = F.filter(F.transform(F.split(text, rules.SENTENCE_END), stripped), both)
     return F.array_compact(F.transform(some, snippet))
 
@@ -181,7 +192,8 @@ def _snippet(s: Column, a: Column, b: Column) -> Column:
 def availability(text: Column) -> Column:
     """struct<statement, method>: what the header rule and the sentence rule find about the availability of data. Texts
     without the name of a repository are not cut into sentences."""
-    found = F.when(text.rlike(rules.REPOSITORY_NAMES), F.nullif(F.array_join(availability_sentences(text), "\n"), F.lit("")))
+    some = text.rlike(rules.AVAILABILITY_WORDS) & text.rlike(rules.REPOSITORY_NAMES)
+    found = F.when(some, let(F.array_join(availability_sentences(text), "\n"), lambda s: F.when(s != "", s)))
 
     def merged(f: Column) -> Column:
         header, search = f["header"], f["search"]

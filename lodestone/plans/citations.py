@@ -129,7 +129,23 @@ def divided(spark, sf_dir):
 
 
 def year_line_filter(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.md5(tx.without_lines(F.col("text"), r"\(\d{4}[a-z]?\) A title\.").cast("binary")).alias("kept_md5"))
+    d = docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("(2020) A"), F.lit("(2020b). A")).alias("text"))
+    return d.select("doc_id", F.md5(tx.without_citation_years(F.col("text")).cast("binary")).alias("kept_md5"))
+
+
+def text_rules(spark, sf_dir):
+    """The rules that no other query goes through, over made-up texts, a column each."""
+    k = F.col("p_partkey").cast("string")
+    of = {
+        "cleaned": (tx.generic_clean, (" a<br>b", k, " 1.  2 / c\n\n\nd\n&e re\\_x non-\nstop so\u00ad ft\u200b ")),
+        "fenced": (tx.fenced_json, ('so:\n```json\n{"k": ', k, "}\n```\nend")),
+        "linked": (tx.page_links_resolved, ("[2](#page-1-", k, ") [3](#page-9-9)\n- <span id=\"page-1-", k, "\"></span> 10.1234/AB", k, ", 10.1234/x;y. 10.1234/AB", k, "\n\n10.9999/no")),
+        "unspanned": (tx.without_span_lines, ("x", k, '\n -  <span id="page-1-b"></span>z\ny\n')),
+        "joined": (tx.xml_doi_space, ("10.1234 / ab", k, " and 10.5/ x")),
+        "head": (segment.markdown_cut, ("# T", k, "\nbody\n## **References**\n1")),
+    }
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", *(rule(F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))).alias(name) for name, (rule, parts) in of.items()), F.array_join(segment.sentences(F.concat(F.lit("One"), k, F.lit(". Two! Dr. Three?  end"))), "|").alias("sentences"))
 
 
 def spaced_headings(spark, sf_dir):
@@ -309,7 +325,7 @@ QUERIES = {
     for f in (
         doi_mentions, match_offsets, doi_valid, accession_valid, recovery_pass, keyword_clusters, reference_cut, last_heading_cut, divided, year_line_filter, spaced_headings, balanced_ids,
         availability_header, availability_statement, catalog_group_sets, majority_filter, xml_filter, union_mentions, rule_labels, cite_marks, line_contexts, sentence_contexts, fixed_windows,
-        smart_chunks, heading_chunks, normalise_nfkc, page_text, xml_documents, repository_snippets, label_links, quotes_and_authors, link_repairs, headings_cut, page_plain_text, simple_ids, article_context, doi_triage, datasets_by_article, resolver_summary,
+        smart_chunks, heading_chunks, normalise_nfkc, page_text, xml_documents, repository_snippets, label_links, quotes_and_authors, link_repairs, headings_cut, text_rules, page_plain_text, simple_ids, article_context, doi_triage, datasets_by_article, resolver_summary,
     )
 }
 
@@ -374,7 +390,12 @@ SQL = {
       w AS (SELECT *, coalesce(sum(cites) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING), 0) AS ahead, sum(cites) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS dense FROM f),
       c AS (SELECT doc_id, min(CASE WHEN pos > floor(n * 0.3) AND regexp_matches(bare, '{segment.HEADING}') AND len(bare) < 40 AND (upper(bare) = bare OR NOT regexp_matches(bare, '\\b[a-z]')) AND ahead >= 5 THEN pos END) AS h,
         min(CASE WHEN pos > floor(n * 0.3) AND pos <= n - 10 AND dense >= 9 THEN pos END) AS r FROM w GROUP BY doc_id) SELECT doc_id, CAST(coalesce(h, r) AS INTEGER) AS cut FROM c WHERE coalesce(h, r) IS NOT NULL""",
-    "year_line_filter": f"WITH {T} SELECT doc_id, md5(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '\\(\\d{{4}}[a-z]?\\) A title\\.')), chr(10))) AS kept_md5 FROM t",
+    "year_line_filter": f"""WITH {T}, r AS (SELECT doc_id, replace(t, '(2020) A', '(2020b). A') AS t FROM t), k AS (SELECT doc_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '\\(\\d{{4}}[ab]?\\)\\.')), chr(10)) AS k FROM r)
+      SELECT doc_id, md5(regexp_replace(k, '^\\s+|\\s+$', '', 'g')) AS kept_md5 FROM k""",
+    "text_rules": """SELECT p_partkey, 'ab' || k || ' 1.2 /c' || chr(10) || 'd&e re_x non-stop soft' AS cleaned, '{"k": ' || k || '}' AS fenced,
+      '[2](10.1234/ab' || k || ',10.1234/x;y) [3]' || chr(10) || '- <span id="page-1-' || k || '"></span> 10.1234/AB' || k || ', 10.1234/x;y. 10.1234/AB' || k || chr(10) || chr(10) || '10.9999/no' AS linked,
+      'x' || k || chr(10) || 'y' AS unspanned, '10.1234/ab' || k || ' and 10.5/ x' AS joined, '# T' || k || chr(10) || 'body' || chr(10) AS head, 'One' || k || '.|Two!|Dr. Three?|end' AS sentences
+      FROM (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS k FROM part)""",
     "balanced_ids": "WITH s AS (SELECT p_partkey, '10.5061/' || CASE WHEN p_partkey % 3 = 0 THEN '(' ELSE '' END || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN ')' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN '[a]' ELSE '' END AS s FROM part) SELECT p_partkey, s FROM s WHERE (p_partkey % 3 = 0) = (p_partkey % 2 = 0)",
     "availability_header": f"""WITH t AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Data availability: all data are in the archive.' ELSE '' END AS t FROM documents),
       h AS (SELECT doc_id, t, strpos(t, regexp_extract(t, '{rules.AVAILABILITY_HEADER}')) AS pos FROM t WHERE regexp_matches(t, '{rules.AVAILABILITY_HEADER}')) SELECT doc_id, CAST(pos AS INTEGER) AS pos, regexp_replace(substr(t, pos, 500), '^\\s+|\\s+$', '', 'g') AS statement FROM h""",

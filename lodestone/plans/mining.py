@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import label, matching, segment, validate
 from ..sources.files import catalog_sets
+from ..storage import materialise
 
 BODY, REFS = "body", "refs"
 #: What stands in the text, where, the identifier it means, and the formats that find it.
@@ -89,9 +90,10 @@ def _fixture(spark):
 def _mentions(spark, sf_dir, contexts=False):
     """Mentions that stand in the catalogs, near a word of their database."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(PAGE).alias("text"))
-    docs = docs.select("doc_id", tx.page_text(tx.spaced_headings(tx.normalised(F.col("text")))).alias("text"))
+    # cleaned once, read for the cut and for the mentions
+    docs = materialise(spark, docs.select("doc_id", tx.page_text(tx.spaced_headings(tx.normalised(F.col("text")))).alias("text")), "pages")
     docs = segment.divide(docs, segment.bibliography_cut(docs)).select("doc_id", "body", "refs")
-    found = validate.canonical(matching.mentions(docs, contexts=contexts))
+    found = materialise(spark, validate.canonical(matching.mentions(docs, contexts=contexts)), "mentions")
     known = _fixture(spark)
     dois = known.where(label.is_doi(F.col("dataset_id"))).select(F.col("dataset_id").alias("doi"))
     catalog = catalog_sets(known.where(~label.is_doi(F.col("dataset_id"))).select(F.col("dataset_id").alias("id"), F.lit("PMC1").alias("pmc"), F.lit(None).cast("string").alias("ext"), F.lit("fixture").alias("source")))

@@ -204,6 +204,9 @@ LABELLED = {
     "doi": (r"10\.\d{4,}/(?:[-._;/:,A-Z0-9]*(?:\([-._;/:,A-Z0-9]*\)[-._;/:,A-Z0-9]*)*[A-Z0-9]|[-._;/:,A-Z0-9]*[A-Z0-9])", r"10\.\d{4,}/[^\)]+"),
 }
 
+# A DOI with more signs than ``DOI`` takes, at page links
+WIDE_DOI = r"10\.\d{4,}/(?:[-._;/:A-Z0-9]*(?:\([-._;/:A-Z0-9]*\)[-._;/:A-Z0-9]*)*[A-Z0-9]|[-._;/:A-Z0-9]*[A-Z0-9])"
+
 # Headings, entries and first entries of a bibliography, older rule
 LAST_HEADING = r"(?i)\b(?:R\s*E\s*F\s*E\s*R\s*E\s*N\s*C\s*E\s*S|BIBLIOGRAPHY|LITERATURE CITED|WORKS CITED|CITED WORKS|ACKNOWLEDGEMENTS)\b[:\s]*"
 NUMBERED_ENTRY = r"^\s*(?:\[\d+\]|\(\d+\)|\d+\.|\d+\)|\d+(?=\s|$))\s*"
