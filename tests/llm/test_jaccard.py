@@ -60,6 +60,13 @@ def test_keep_one(spark):
     assert got == sorted([(1, "A b c, d e f"), (3, None), (4, ""), (9, "other words stand here now")], key=repr)
 
 
+def test_very_long_texts(spark):
+    words = [f"w{k}" for k in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:50_000])), (3, " ".join(words[:30_000])), (4, "short one of five words")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert J.jaccard_join(spark, docs).collect() == []

@@ -39,6 +39,17 @@ def test_mix_meets_its_targets(spark):
     assert sum(len(re.findall(op7_mixing.SPACED, t)) for t in out) == sum(r["taken"] for r in got)
 
 
+def test_mix_of_long_and_equal_rows(spark):
+    rows = [(1, "a", "w " * 200_000)] + [(None, "a", "x y z")] * 50 + [(None, None, f"t{k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = op7_mixing.mix(spark, docs).collect()
+    for s in ("a", None):
+        own = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], abs=1)
+    out = op7_mixing.mixture(spark, docs).select("source", "text").collect()
+    assert sum(len(r["text"].split()) for r in out) == sum(r["taken"] for r in got)
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert op7_mixing.mix(spark, docs).collect() == []
