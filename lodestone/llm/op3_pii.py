@@ -161,10 +161,14 @@ def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, gen
     telling = materialise(spark, pairs.select("entity", "term", action, (F.col("gain") >= surprise + F.log(F.lit(tried))).alias("wide")), "pii-telling")
     own = held.select("dk", "entity", F.explode("forms").alias("form")).withColumn("term", F.lower("form")).join(plain, "term", "left_anti")
     own = own.join(telling.hint("merge"), ["entity", "term"]).select("dk", "form", "action")
-    wide = materialise(spark, telling.where("wide").groupBy("term").agg(F.max("action").alias("action")), "pii-wide")
-    # words that surely disclose nothing, most of all text, need not be dealt out
+    wide = telling.where("wide").groupBy("term").agg(F.max("action").alias("action"))
+    # never empty (no word is that short), so that the plan is the same whether there are such terms or not
+    wide = materialise(spark, wide.unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit("generalise").alias("action"))), "pii-wide")
+    # words that are common and disclose nothing, most of all text, need not be dealt out
+    dull = F.broadcast(commonest(df).join(wide, "term", "left_anti").select("term"))
+    words = found.select("dk", F.explode("forms").alias("form")).withColumn("term", F.lower("form")).join(dull, "term", "left_anti")
     bits = sieve(spark, wide.select("term"), "wide")
-    words = sifted(found.select("dk", F.explode("forms").alias("form")).withColumn("term", F.lower("form")), "term", bits).where("__may")
+    words = sifted(words, "term", bits).where("__may")
     hits = own.unionByName(words.join(wide, "term").select("dk", "form", "action"))
     hits = hits.groupBy("dk", "form").agg(F.max("action").alias("action")).groupBy("dk").agg(F.map_from_entries(F.collect_list(F.struct("form", "action"))).alias("hits"))
     hits = materialise(spark, hits, "pii-hits")
