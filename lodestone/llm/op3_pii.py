@@ -136,10 +136,12 @@ def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, gen
     df = materialise(spark, found.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df_term")), "pii-df")
     n = float(max(found.count(), 1))
     some = found.where(F.size("spans") > 0)
-    held = some.select("dk", "sk", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"), "forms")
-    # rows that repeat share dk and stand for themselves in all counts
+    held = some.select("dk", "sk", F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["entity"])))).alias("entity"), "forms")
+    # entities go by their hash, which is short; rows that repeat share dk and stand for themselves in all counts
     classes = materialise(spark, kin(held.select("dk", "sk", "entity").distinct()), "pii-kin")
-    held = held.join(classes, ["dk", "entity"]).select("dk", "tk", "entity", "forms")
+    tks = classes.groupBy("dk").agg(F.map_from_entries(F.collect_list(F.struct("entity", "tk"))).alias("tks"))  # a document's entities
+    docs = materialise(spark, some.select("dk", "forms").join(tks, "dk"), "pii-held")  # words are moved once
+    held = docs.select("dk", F.explode("tks").alias("entity", "tk"), "forms")
     per_text = held.groupBy("entity", "tk").agg(F.count("*").alias("rows"))
     entities = materialise(spark, per_text.groupBy("entity").agg(F.sum("rows").alias("df_entity"), F.count("*").alias("entity_texts")), "pii-entities")
     # no pair with a term of more documents than this reaches the share; such terms of the commonest are left out at once
@@ -159,7 +161,10 @@ def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, gen
     pairs = pairs.withColumn("gain", F.col("k") * F.log(F.col("k") / F.col("m")) - F.col("k") + F.col("m")).where(F.col("gain") >= surprise)
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")
     telling = materialise(spark, pairs.select("entity", "term", action, (F.col("gain") >= surprise + F.log(F.lit(tried))).alias("wide")), "pii-telling")
-    own = held.select("dk", "entity", F.explode("forms").alias("form")).withColumn("term", F.lower("form")).join(plain, "term", "left_anti")
+    # of the terms beside each entity, only those that may tell are dealt out
+    both = sieve(spark, telling.select(F.xxhash64("entity", "term").alias("pair")), "telling")
+    own = held.select("dk", "entity", F.explode("forms").alias("form")).withColumn("pair", F.xxhash64("entity", F.lower("form")))
+    own = sifted(own, "pair", both).where("__may").select("dk", "entity", "form", F.lower("form").alias("term"))
     own = own.join(telling.hint("merge"), ["entity", "term"]).select("dk", "form", "action")
     wide = telling.where("wide").groupBy("term").agg(F.max("action").alias("action"))
     # never empty (no word is that short), so that the plan is the same whether there are such terms or not
@@ -172,7 +177,7 @@ def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, gen
     hits = own.unionByName(words.join(wide, "term").select("dk", "form", "action"))
     hits = hits.groupBy("dk", "form").agg(F.max("action").alias("action")).groupBy("dk").agg(F.map_from_entries(F.collect_list(F.struct("form", "action"))).alias("hits"))
     hits = materialise(spark, hits, "pii-hits")
-    used_up(spark, df, classes, entities, pairs_made, telling, wide, bits)
+    used_up(spark, df, classes, docs, entities, pairs_made, telling, wide, bits, both)
     return hits
 
 
