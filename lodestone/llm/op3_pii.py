@@ -9,8 +9,10 @@ placeholder, from ``remove`` on it is dropped. All of df(t, e), df(e), df(t) and
 Whether a pair is more than chance is told by how far its PMI exceeds what is expected: with k different texts of the
 pair and m expected ones, ``k log(k / m) - k + m`` must reach ``surprise`` for the term to go from all documents of the
 entity (by default chance brings such a pair about at most once in 100 times), and ``surprise`` plus the log of the
-number of pairs for it to go from every other document as well. Of an entity's texts, those that share one of eight least
-hashes of five words in a row are one in k and m: copies and near copies, whose words all come together, prove nothing.
+number of pairs for it to go from every other document as well. Of an entity's texts, copies and near copies are one in k
+and m, as their words all come together and prove nothing. Texts meet by any of eight least hashes of five words in a
+row; one counts as the least text met there that it resembles: NEAR of the telling terms of both, and SHARED at least,
+are in both. Terms in half of all documents or more don't tell. A sentence or passage in common is no near copy.
 An entity in a single text is settled as soon as the corpus is large enough.
 
 Offsets are code points, ends exclusive. Null text is the empty text and has no spans. Repeated rows and null ids are
@@ -33,6 +35,9 @@ TERMS = "array<struct<start:int,end:int,action:string>>"
 SIGN, DOT = "\ufdd0", "\ufdd1"
 SURPRISE = 4.6
 SKETCHES = 8
+KEPT_TERMS = 256
+NEAR = 0.5
+SHARED = 5
 GENERALISE = 0.7
 REMOVE = 0.9
 TERM = r"\p{L}{3,}"
@@ -99,9 +104,9 @@ def masked(text: Column) -> Column:
 
 
 def find(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id") -> DataFrame:
-    """(dk, sk, spans, forms) of every row, written out; dk tells rows apart by id and text, sk (of rows with spans) are
-    hashes that near copies share. A span has kind, start, end and the entity (numbers by their digits); forms are
-    the different terms of the whole text outside of e-mail addresses."""
+    """(dk, own, sk, spans, forms) of every row, written out; dk tells rows apart by id and text; of rows with spans, own tells
+    texts apart and sk are hashes that near copies share. A span has kind, start, end and the entity (numbers by their
+    digits); forms are the different terms of the whole text outside of e-mail addresses."""
     d = docs.select(row_key(doc_id, text).alias("dk"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     d = d.select("dk", "t", *(c.alias(k) for k, c in base_spans(F.col("t")).items()))
 
@@ -112,22 +117,59 @@ def find(spark: SparkSession, docs: DataFrame, *, text="text", doc_id="doc_id")
     without = F.when(F.contains("t", F.lit("@")), F.regexp_replace(mail_view(F.col("t")), PATTERNS["email"], " ")).otherwise(F.col("t"))
     forms = F.array_distinct(F.regexp_extract_all(without, F.lit(TERM), 0))
     d = d.select("dk", "t", F.concat(*map(dress, KINDS)).alias("spans"), forms.alias("forms"))
-    return materialise(spark, d.select("dk", F.when(F.size("spans") > 0, sketch(F.col("t"))).alias("sk"), "spans", "forms"), "pii")
+    both = let(runs(F.col("t")), lambda h: F.struct(F.xxhash64(h).alias("own"), least_each(h).alias("sk")))
+    d = d.select("dk", F.when(F.size("spans") > 0, both).alias("both"), "spans", "forms")
+    return materialise(spark, d.select("dk", "both.own", "both.sk", "spans", "forms"), "pii")
 
 
-def sketch(text: Column) -> Column:
-    """The least of SKETCHES hashes each over the runs of five words (all words, if there are fewer)."""
+def runs(text: Column) -> Column:
+    """Hashes of the runs of five words (of all words, if there are fewer)."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda k: F.xxhash64(F.array_join(F.slice(w, k + 1, F.lit(5)), " ")))
-    least = lambda h, r: F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(r))))
-    return let(let(words, runs), lambda h: F.array(*(least(h, r) for r in range(SKETCHES))))
+    return let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda k: F.xxhash64(F.array_join(F.slice(w, k + 1, F.lit(5)), " "))))
+
 
+def least_each(hashes: Column) -> Column:
+    """The least of SKETCHES further hashes each."""
+    least = lambda r: F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, F.lit(r))))
+    return F.array(*(least(r) for r in range(SKETCHES)))
 
-def kin(held: DataFrame) -> DataFrame:
-    """(dk, entity, tk) of ``held`` (dk, sk, entity): rows of an entity with a sketch in common share tk."""
-    each = held.select("dk", "entity", F.col("sk")[0].alias("own"), F.posexplode("sk").alias("r", "s"))
-    met = each.groupBy("entity", "r", "s").agg(F.min("own").alias("least"))
-    return each.join(met, ["entity", "r", "s"]).groupBy("dk", "entity").agg(F.min("least").alias("tk"))
+
+def sketch(text: Column) -> Column:
+    """The least of SKETCHES hashes each over the runs of five words (all words, if there are fewer)."""
+    return let(runs(text), least_each)
+
+
+def least_of(hashes: Column) -> Column:
+    """The KEPT_TERMS least different ones, in order."""
+    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, KEPT_TERMS)
+
+
+def near(a: Column, b: Column) -> Column:
+    """Whether two sets, given by their KEPT_TERMS least elements, share SHARED elements and NEAR of all that they hold
+    (exact if they hold no more)."""
+    both = lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b)))
+    return let(least_of(F.concat(a, b)), lambda u: let(both(u), lambda n: (n >= SHARED) & (n >= NEAR * F.size(u))))
+
+
+def kin(spark: SparkSession, some: DataFrame, held: DataFrame, dull: DataFrame) -> DataFrame:
+    """(dk, entity, tk) of ``held`` (dk, own, sk, entity), written out: what a row's text counts as, the least of its own
+    and of the least texts that it meets at its sketches and resembles by its forms (in ``some``) but the terms in ``dull``."""
+    each = held.select("entity", "own", F.posexplode("sk").alias("r", "s"))
+    least = each.groupBy("entity", "r", "s").agg(F.min("own").alias("least"))
+    met = materialise(spark, each.join(least, ["entity", "r", "s"]).where("own != least").select("entity", "own", "least").distinct(), "pii-met")
+    pairs = met.select("own", "least").distinct()
+    # terms are moved for texts that meet others alone
+    bits = sieve(spark, pairs.select("own").unionByName(pairs.select(F.col("least").alias("own"))), "met")
+    low = sifted(some.select("own", "forms"), "own", bits).where("__may").crossJoin(F.broadcast(dull.agg(F.collect_list("term").alias("dull"))))
+    telling = F.array_except(F.transform("forms", lambda x: F.lower(x)), F.col("dull"))
+    low = low.select("own", least_of(F.transform(telling, lambda x: F.xxhash64(x))).alias("low")).groupBy("own").agg(F.min("low").alias("low"))
+    low = materialise(spark, low, "pii-low")
+    alike = pairs.join(low, "own").join(low.select(F.col("own").alias("least"), F.col("low").alias("other")), "least").where(near(F.col("low"), F.col("other")))
+    kept = met.join(alike.select("own", "least"), ["own", "least"]).groupBy("entity", "own").agg(F.min("least").alias("least"))
+    out = held.select("dk", "entity", "own").join(kept, ["entity", "own"], "left").select("dk", "entity", F.least("own", "least").alias("tk"))
+    out = materialise(spark, out, "pii-kin")
+    used_up(spark, met, bits, low)
+    return out
 
 
 def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, generalise=GENERALISE, remove=REMOVE) -> DataFrame:
@@ -136,9 +178,9 @@ def disclosures(spark: SparkSession, found: DataFrame, *, surprise=SURPRISE, gen
     df = materialise(spark, found.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df_term")), "pii-df")
     n = float(max(found.count(), 1))
     some = found.where(F.size("spans") > 0)
-    held = some.select("dk", "sk", F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["entity"])))).alias("entity"), "forms")
+    held = some.select("dk", "own", "sk", F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["entity"])))).alias("entity"), "forms")
     # entities go by their hash, which is short; rows that repeat share dk and stand for themselves in all counts
-    classes = materialise(spark, kin(held.select("dk", "sk", "entity").distinct()), "pii-kin")
+    classes = kin(spark, some, held.select("dk", "own", "sk", "entity").distinct(), df.where(F.col("df_term") >= n / 2))
     tks = classes.groupBy("dk").agg(F.map_from_entries(F.collect_list(F.struct("entity", "tk"))).alias("tks"))  # a document's entities
     docs = materialise(spark, some.select("dk", "forms").join(tks, "dk"), "pii-held")  # words are moved once
     held = docs.select("dk", F.explode("tks").alias("entity", "tk"), "forms")
