@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.columns import let, stripped
+from ..functions.columns import ascii_bounds, let, stripped
 
 MATCH = "array<struct<start:int,end:int,value:string>>"
 RUN = 64
@@ -41,7 +41,7 @@ def _placed(steps: Column) -> Column:
 
 
 def compiled(ci: bool, pattern: str) -> str:
-    return f"(?i){pattern}" if ci else pattern
+    return ascii_bounds(f"(?i){pattern}" if ci else pattern)
 
 
 def literal(pattern: str) -> str | None:
@@ -67,7 +67,7 @@ def mentions(docs: DataFrame, *, names=None, body="body", refs="refs", keep=("do
     for priority, (name, ci, pattern) in enumerate(rules.PATTERNS, 1):
         if names is None or name in names:
             window, words = rules.CONTEXT.get(database_of(name), (0, ""))
-            rule = {"pattern_name": name, "priority": priority, "section": section(name), "__pattern": compiled(ci, pattern), "__window": window * widen, "__words": f"(?i){words}" if words else ""}
+            rule = {"pattern_name": name, "priority": priority, "section": section(name), "__pattern": compiled(ci, pattern), "__window": window * widen, "__words": ascii_bounds(f"(?i){words}") if words else ""}
             has, start = F.col(text_of[section(name)]).rlike(compiled(ci, pattern)), literal(pattern)
             tests.append(F.when(has if start is None else F.contains("__low", F.lit(start)) & has, F.struct(*(F.lit(v).alias(k) for k, v in rule.items()))))
     # a row a pattern that the text has, then a row a match: what places the matches stands once in the plan, not once a pattern
@@ -111,7 +111,7 @@ def prefixed(docs: DataFrame, words=None, by="doc_id", text="text") -> DataFrame
 
 def distinct_values(docs: DataFrame, patterns=None, by="doc_id", text="text") -> DataFrame:
     """(by, pattern_name, value): the different values that each pattern's first group has in a text."""
-    patterns = rules.SIMPLE_PATTERNS if patterns is None else patterns
+    patterns = {n: ascii_bounds(p) for n, p in (rules.SIMPLE_PATTERNS if patterns is None else patterns).items()}
     has = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"))) for n, p in patterns.items())))
     rows = docs.select(by, F.col(text).alias("__text"), F.explode(has).alias("p"))
     return rows.select(by, F.col("p.name").alias("pattern_name"), F.explode(F.array_distinct(F.regexp_extract_all("__text", F.col("p.pattern"), 1))).alias("value"))

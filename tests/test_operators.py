@@ -342,3 +342,11 @@ def test_wider_windows_for_raw_texts(spark):
     d = spark.createDataFrame([(1, "GSE1234 " + "x" * 6000 + " genome", "")], "doc_id int, body string, refs string")
     near = lambda n: [r["near"] for r in matching.mentions(d, names=("geo_id",), widen=n).collect()]
     assert (near(1), near(2)) == ([False], [True])
+
+
+def test_bounds_beside_other_letters(spark):
+    """A letter beyond ASCII ends a word, as in the SQL."""
+    d = spark.createDataFrame([(1, "ENSSÜ, ÄGSE12 xGSE13 GSE14é GSE15_ PDX é2020"), (2, "5.2.3.-x 5.2.4.- é5.2.5.1")], "doc_id long, text string")
+    assert {tuple(r) for r in matching.distinct_values(d).collect()} == {(1, "ensembl_id", "ENSS"), (1, "geo_id", "GSE12"), (1, "geo_id", "GSE14")}
+    found = matching.mentions(d.withColumn("refs", F.lit("")), names=("geo_id", "brenda_ec_number"), body="text")
+    assert {(r.doc_id, r.value) for r in found.collect()} == {(1, "GSE12"), (1, "GSE14"), (2, "5.2.3.-"), (2, "5.2.5.1")}
