@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from re import _parser as sre
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,48 +42,177 @@ def _placed(steps: Column) -> Column:
     return let(runs, lambda runs: F.flatten(F.zip_with(runs, starts(runs), place)))
 
 
-def compiled(ci: bool, pattern: str) -> str:
-    return ascii_bounds(f"(?i){pattern}" if ci else pattern)
-
-
-def literal(pattern: str) -> str | None:
-    """Lower-case letters that any match starts with, if the pattern says so plainly: looked for as bytes, they keep most
-    texts away from the pattern."""
-    m = re.match(r"(?:\\b)?([A-Za-z][A-Za-z_:-]{2,})(?![?*{|])", pattern)
-    return m[1].lower() if m and "|" not in re.sub(r"\([^()]*\)|\[[^\]]*\]", "", pattern) else None
-
-
-def mentions(docs: DataFrame, *, names=None, body="body", refs="refs", keep=("doc_id",), widen=1, contexts=False) -> DataFrame:
+def starts(pattern: str) -> list[str]:
+    """Texts one of which any match starts with, three signs at least, if the pattern says so plainly; else none. Looked for
+    as bytes, they keep most texts away from the pattern."""
+    def of(items) -> tuple[list[str], bool]:
+        head = ""
+        for op, arg in items:
+            if op is sre.LITERAL:
+                head += chr(arg)
+            elif op is sre.SUBPATTERN and not arg[1] and not arg[2]:
+                more, whole = of(arg[3])
+                if not whole:
+                    return [head + m for m in more], False
+                head += more[0]
+            elif op is sre.BRANCH:
+                return [head + m for b in arg[1] for m in of(b)[0]], False
+            elif (op, arg) != (sre.AT, sre.AT_BOUNDARY):
+                return [head], False
+        return [head], True
+
+    found = of(parsed(pattern))[0]
+    return found if min(map(len, found)) >= 3 else []
+
+
+def parsed(pattern: str):
+    try:
+        return sre.parse(pattern)
+    except re.error:  # Java's own syntax: nothing is known of it
+        return [(sre.ANY, None)]
+
+
+def in_digit_words(pattern: str) -> bool:
+    """Whether any match holds a digit and no white space, and depends on nothing beyond the white space around it: then
+    it stands in ``digit_words`` too."""
+    digits, spaces = set(map(ord, "0123456789")), set(map(ord, " \t\n\x0b\f\r"))
+
+    def of(items) -> tuple[bool, bool]:
+        """(holds a digit, holds no white space)"""
+        digit, tight = False, True
+        for op, arg in items:
+            if op is sre.LITERAL:
+                d, t = arg in digits, arg not in spaces
+            elif op is sre.IN:
+                inside = [one(*x) for x in arg if x[0] is not sre.NEGATE]
+                negated = arg[0][0] is sre.NEGATE
+                d, t = (False, (sre.CATEGORY, sre.CATEGORY_SPACE) in arg) if negated else (all(x[0] for x in inside), all(x[1] for x in inside))
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+                d, t = of(arg[2])
+                d = d and arg[0] > 0
+            elif op is sre.SUBPATTERN:
+                d, t = of(arg[3])
+            elif op is sre.ATOMIC_GROUP:
+                d, t = of(arg)
+            elif op is sre.BRANCH:
+                each = [of(b) for b in arg[1]]
+                d, t = all(x[0] for x in each), all(x[1] for x in each)
+            elif op in (sre.ASSERT, sre.ASSERT_NOT):
+                d, t = False, of(arg[1])[1]
+            else:
+                d, t = False, (op, arg) == (sre.AT, sre.AT_BOUNDARY)
+            digit, tight = digit or d, tight and t
+        return digit, tight
+
+    def one(op, arg) -> tuple[bool, bool]:
+        if op is sre.LITERAL:
+            return arg in digits, arg not in spaces
+        if op is sre.RANGE:
+            return ord("0") <= arg[0] and arg[1] <= ord("9"), not any(arg[0] <= s <= arg[1] for s in spaces)
+        return arg is sre.CATEGORY_DIGIT, arg in (sre.CATEGORY_DIGIT, sre.CATEGORY_WORD, sre.CATEGORY_NOT_SPACE)
+
+    return all(of(parsed(pattern)))
+
+
+def digit_words(text: Column) -> Column:
+    """array<struct<start, end, value>>: what stands between white space and holds a digit, a small part of most texts."""
+    # signs one by one: Java looks such classes up in a table
+    space = r"\t\n\x0b\f\r "
+    pieces = F.regexp_extract_all(text, F.lit(rf"([^0123456789]*[{space}]|[^{space}]++)"), F.lit(1))
+    word = lambda v: functools.reduce(lambda a, b: a & b, (~F.endswith(v, F.lit(c)) for c in " \n\t\r\x0b\f")) & v.rlike("[0123456789]")
+    steps = F.transform(pieces, lambda v: F.struct(F.when(word(v), v).alias("value"), F.lit(0).alias("gap"), F.length(v).alias("n")))
+    return let(steps, lambda x: F.filter(_placed(x), lambda w: w["value"].isNotNull()))
+
+
+def _moved(found: Column, by: Column) -> Column:
+    return F.transform(found, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["value"].alias("value")))
+
+
+def _joined(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["value"]), "\n")
+
+
+def matches_in(words: Column, pattern: Column) -> Column:
+    """``all_matches`` of a pattern that ``in_digit_words`` allows, from the words."""
+    # a word that the pattern matches as a whole has no other match to be placed
+    def found(w: Column) -> Column:
+        first = F.regexp_substr(w["value"], pattern)
+        return F.when(first.isNull(), F.array().cast(MATCH)).when(first == w["value"], F.array(w)).otherwise(_moved(all_matches(w["value"], pattern), w["start"]))
+
+    return F.flatten(F.transform(words, found))
+
+
+def has_match(pattern: str, text: str, words: str, low: str, words_low: str) -> Column:
+    """Whether ``pattern`` has a match, by columns: the text, its ``digit_words`` a line each, and both in lower case."""
+    few, ci = in_digit_words(pattern), pattern.startswith("(?i)")
+    test, where = F.col(words if few else text).rlike(ascii_bounds(pattern)), F.col((words_low if few else low) if ci else words if few else text)
+    begin = [F.contains(where, F.lit(s.lower() if ci else s)) for s in starts(pattern)]
+    return functools.reduce(lambda a, b: a | b, begin) & test if begin else test
+
+
+def mentions(docs: DataFrame, *, names=None, body="body", refs="refs", keep=("doc_id",), widen=1, contexts=False, near=True) -> DataFrame:
     """One row a match: ``keep``, pattern_name, priority, section, start, end, value, near, and with ``contexts`` also
     context (whole sentences around the match).
 
-    Patterns for DOIs read their own section, all others the body and the references together. One cheap test a pattern
-    keeps texts without it away from the scan. ``near`` tells whether a word of the pattern's database stands within its
-    window (``widen`` times as wide); it is worked out while the text is at hand, so that no text is shuffled for it.
+    Patterns for DOIs read their own section, all others the body and the references together. One cheap test a pattern,
+    mostly over the words with a digit alone, keeps texts without it away from the scan. ``near`` tells whether a word of
+    the pattern's database stands within its window (``widen`` times as wide); it is worked out while the text is at hand,
+    so that no text is shuffled for it. Without ``near`` neither it nor the context is: ``surrounded`` adds them to those
+    that are left.
     """
     section = lambda name: "body" if name in ("doi", "doi2") else "references" if name.startswith("doi_ref") else "all"
-    text_of = {"body": "__body", "references": "__refs", "all": "__both"}
+    of = {"body": "__body", "references": "__refs", "all": "__both"}
     texts = docs.select(*keep, F.col(body).alias("__body"), F.col(refs).alias("__refs"), F.concat(F.col(body), F.lit("\n"), F.col(refs)).alias("__both"))
-    texts = texts.select("*", F.lower("__both").alias("__low"))
+    texts = texts.select("*", digit_words(F.col("__body")).alias("__body_d"), digit_words(F.col("__refs")).alias("__refs_d"), F.lower("__both").alias("__low"))
+    texts = texts.select("*", F.concat("__body_d", _moved(F.col("__refs_d"), F.length("__body") + 1)).alias("__both_d"), _joined(F.col("__body_d")).alias("__body_w"), _joined(F.col("__refs_d")).alias("__refs_w"))
+    texts = texts.select("*", F.concat("__body_w", F.lit("\n"), "__refs_w").alias("__both_w"))
+    texts = texts.select("*", F.lower("__both_w").alias("__low_w"))
     tests = []
     for priority, (name, ci, pattern) in enumerate(rules.PATTERNS, 1):
         if names is None or name in names:
-            window, words = rules.CONTEXT.get(database_of(name), (0, ""))
-            rule = {"pattern_name": name, "priority": priority, "section": section(name), "__pattern": compiled(ci, pattern), "__window": window * widen, "__words": ascii_bounds(f"(?i){words}") if words else ""}
-            has, start = F.col(text_of[section(name)]).rlike(compiled(ci, pattern)), literal(pattern)
-            tests.append(F.when(has if start is None else F.contains("__low", F.lit(start)) & has, F.struct(*(F.lit(v).alias(k) for k, v in rule.items()))))
+            pattern = f"(?i){pattern}" if ci else pattern
+            rule = {"pattern_name": name, "priority": priority, "section": section(name), "__pattern": ascii_bounds(pattern), "__few": in_digit_words(pattern)}
+            has = has_match(pattern, of[section(name)], f"{of[section(name)]}_w", "__low", "__low_w")
+            tests.append(F.when(has, F.struct(*(F.lit(v).alias(k) for k, v in rule.items()))))
     # a row a pattern that the text has, then a row a match: what places the matches stands once in the plan, not once a pattern
-    rows = texts.select(*keep, "__body", "__refs", "__both", F.explode(F.array_compact(F.array(*tests))).alias("p"))
-    text = F.when(F.col("p.section") == "body", F.col("__body")).when(F.col("p.section") == "references", F.col("__refs")).otherwise(F.col("__both"))
-    rows = rows.select(*keep, text.alias("__text"), "p.*")
-    rows = rows.select(*keep, "__text", "pattern_name", "priority", "section", "__window", "__words", F.explode(all_matches(F.col("__text"), F.col("__pattern"))).alias("m"))
-    rows = rows.select(*keep, "__text", "pattern_name", "priority", "section", "m.*", "__window", "__words")
-    left = F.greatest(F.col("start") - F.col("__window"), F.lit(0))
-    near = F.substr("__text", left + 1, F.col("end") + F.col("__window") - left)
-    rows = rows.withColumn("near", F.when(F.col("__words") == "", True).otherwise(F.rlike(near, F.col("__words"))))
-    if contexts:
-        rows = rows.withColumn("context", sentence_context(F.col("__text"), F.col("start"), F.col("end")))
-    return rows.drop("__text", "__window", "__words")
+    rows = texts.select(*keep, *of.values(), *(f"{c}_d" for c in of.values()), F.explode(F.array_compact(F.array(*tests))).alias("p"))
+    own = lambda end: F.when(F.col("p.section") == "body", F.col(f"__body{end}")).when(F.col("p.section") == "references", F.col(f"__refs{end}")).otherwise(F.col(f"__both{end}"))
+    rows = rows.select(*keep, own("").alias("__text"), F.when(F.col("p.__few"), own("_d")).alias("__words"), "p.*")
+    found = F.when(F.col("__few"), matches_in(F.col("__words"), F.col("__pattern"))).otherwise(all_matches(F.col("__text"), F.col("__pattern")))
+    if near:
+        found = _with_surroundings(found, lambda m: F.col("__text"), lambda m: F.col("pattern_name"), widen, contexts, names)
+    # exploded where it is worked out: the filter that Spark infers for an exploded column would work it out twice more
+    return rows.select(*keep, "pattern_name", "priority", "section", F.explode(found).alias("m")).select(*keep, "pattern_name", "priority", "section", "m.*")
+
+
+def _with_surroundings(found: Column, text, name, widen: int, contexts: bool, names=None) -> Column:
+    """The structs of ``found`` with near and, if wanted, context; ``text`` and ``name`` of the pattern are given by struct."""
+    by: dict[tuple[int, str], list[str]] = {}
+    for n, _, _ in rules.PATTERNS:
+        if (names is None or n in names) and (rule := rules.CONTEXT.get(database_of(n), (0, "")))[1]:
+            by.setdefault(rule, []).append(n)
+
+    def add(m: Column) -> Column:
+        near = F.lit(True)
+        for (window, words), of in by.items():
+            left = F.greatest(m["start"] - window * widen, F.lit(0))
+            here = F.substr(text(m), left + 1, m["end"] + window * widen - left)
+            near = F.when(name(m).isin(*of), here.rlike(ascii_bounds(f"(?i){words}"))).otherwise(near)
+        m_near = m.withField("near", near)
+        return m_near.withField("context", sentence_context(text(m), m["start"], m["end"])) if contexts else m_near
+
+    return F.transform(found, add)
+
+
+def surrounded(found: DataFrame, docs: DataFrame, *, by="doc_id", body="body", refs="refs", widen=1, contexts=False) -> DataFrame:
+    """``found`` (mentions without near) with near and, if wanted, context: its rows meet their texts once a document."""
+    rest = [c for c in found.columns if c != by]
+    lists = found.groupBy(by).agg(F.collect_list(F.struct(*rest)).alias("__found"))
+    texts = docs.select(by, F.col(body).alias("__body"), F.col(refs).alias("__refs")).join(lists, by)
+    texts = texts.withColumn("__both", F.concat("__body", F.lit("\n"), "__refs"))
+    text = lambda m: F.when(m["section"] == "body", F.col("__body")).when(m["section"] == "references", F.col("__refs")).otherwise(F.col("__both"))
+    d = texts.select(by, F.explode(_with_surroundings(F.col("__found"), text, lambda m: m["pattern_name"], widen, contexts)).alias("m"))
+    return d.select(by, "m.*")
 
 
 def database_of(name: str) -> str:
@@ -111,9 +242,10 @@ def prefixed(docs: DataFrame, words=None, by="doc_id", text="text") -> DataFrame
 
 def distinct_values(docs: DataFrame, patterns=None, by="doc_id", text="text") -> DataFrame:
     """(by, pattern_name, value): the different values that each pattern's first group has in a text."""
-    patterns = {n: ascii_bounds(p) for n, p in (rules.SIMPLE_PATTERNS if patterns is None else patterns).items()}
-    has = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"))) for n, p in patterns.items())))
-    rows = docs.select(by, F.col(text).alias("__text"), F.explode(has).alias("p"))
+    patterns = rules.SIMPLE_PATTERNS if patterns is None else patterns
+    d = docs.select(by, F.col(text).alias("__text"), _joined(digit_words(F.col(text))).alias("__w")).select("*", F.lower("__text").alias("__low"), F.lower("__w").alias("__low_w"))
+    has = F.array_compact(F.array(*(F.when(has_match(p, "__text", "__w", "__low", "__low_w"), F.struct(F.lit(n).alias("name"), F.lit(ascii_bounds(p)).alias("pattern"))) for n, p in patterns.items())))
+    rows = d.select(by, "__text", F.explode(has).alias("p"))
     return rows.select(by, F.col("p.name").alias("pattern_name"), F.explode(F.array_distinct(F.regexp_extract_all("__text", F.col("p.pattern"), 1))).alias("value"))
 
 

@@ -90,18 +90,21 @@ def _fixture(spark):
 def _mentions(spark, sf_dir, contexts=False):
     """Mentions that stand in the catalogs, near a word of their database."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(PAGE).alias("text"))
-    # cleaned once, read for the cut and for the mentions
-    docs = materialise(spark, docs.select("doc_id", tx.page_text(tx.spaced_headings(tx.normalised(F.col("text")))).alias("text")), "pages")
-    docs = segment.divide(docs, segment.bibliography_cut(docs)).select("doc_id", "body", "refs")
-    found = materialise(spark, validate.canonical(matching.mentions(docs, contexts=contexts)), "mentions")
+    docs = docs.select("doc_id", tx.page_text(tx.spaced_headings(tx.normalised(F.col("text")))).alias("text"))
+    docs = segment.divided_at(docs.withColumn("cut", segment.bibliography_line(F.col("text")))).select("doc_id", "body", "refs")
+    # cleaned and divided once, read for the mentions and for what surrounds those that the catalogs hold
+    docs = materialise(spark, docs, "pages")
+    found = materialise(spark, validate.canonical(matching.mentions(docs, near=False)), "mentions")
     known = _fixture(spark)
     dois = known.where(label.is_doi(F.col("dataset_id"))).select(F.col("dataset_id").alias("doi"))
     catalog = catalog_sets(known.where(~label.is_doi(F.col("dataset_id"))).select(F.col("dataset_id").alias("id"), F.lit("PMC1").alias("pmc"), F.lit(None).cast("string").alias("ext"), F.lit("fixture").alias("source")))
     doi = label.is_doi(F.col("dataset_id"))
     own = F.concat(F.lit("10.9999_"), F.col("doc_id").cast("string"))
     dois = validate.known_dois(validate.known_registrants(found.where(doi & ~validate.doi_rejected(tx.bare_doi(F.col("dataset_id")), own)), dois), dois)
-    accessions = validate.in_catalog(found.where(~doi & F.col("near")), catalog)
-    return validate.with_catalog_ids(dois.select(*found.columns).unionByName(accessions.select(*found.columns)), catalog)
+    accessions = validate.in_catalog(found.where(~doi), catalog)
+    known = dois.select(*found.columns).unionByName(accessions.select(*found.columns))
+    known = matching.surrounded(known, docs, contexts=contexts).where(doi | F.col("near"))
+    return validate.with_catalog_ids(known, catalog)
 
 
 def pattern_mentions(spark, sf_dir):
