@@ -41,6 +41,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark, df):
+    """Short rows of a table in few files, or few row groups, dealt to all cores before much is done with each."""
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def docs(spark, sf_dir, keep=("doc_id",)):
     return table(spark, sf_dir, "documents").select(*keep, F.expr(INJECTED).alias("text"))
 
@@ -220,7 +225,7 @@ def label_links(spark, sf_dir):
     """Labels before links, and links that repeat, of both kinds."""
     u, d = "'http://e.org/' || CAST(p_partkey AS STRING)", "'10.1234/Ab' || CAST(p_partkey AS STRING)"
     text = f"'see [here](' || {u} || ') or (' || {u} || ')(' || {u} || ') end (' || {u} || ') - (' || {u} || '); [' || p_name || ' and a label far too long to go](' || {d} || ') [x](' || {d} || ')(' || lower({d}) || ')(' || {d} || ').'"
-    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(text).alias("t"))
+    p = dealt(spark, table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", F.expr(text).alias("t"))
     return p.select("p_partkey", tx.without_labels(F.col("t")).alias("urls"), tx.without_labels(F.col("t"), "doi").alias("dois"))
 
 

@@ -350,3 +350,10 @@ def test_bounds_beside_other_letters(spark):
     assert {tuple(r) for r in matching.distinct_values(d).collect()} == {(1, "ensembl_id", "ENSS"), (1, "geo_id", "GSE12"), (1, "geo_id", "GSE14")}
     found = matching.mentions(d.withColumn("refs", F.lit("")), names=("geo_id", "brenda_ec_number"), body="text")
     assert {(r.doc_id, r.value) for r in found.collect()} == {(1, "GSE12"), (1, "GSE14"), (2, "5.2.3.-"), (2, "5.2.5.1")}
+
+
+def test_short_tables_are_dealt_out(spark):
+    """One file of one row group doesn't leave all work to one task."""
+    from lodestone.plans import citations
+
+    assert citations.label_links(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
