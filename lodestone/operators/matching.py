@@ -302,8 +302,9 @@ def availability_sentences(text: Column) -> Column:
         return let(pair, lambda p: _snippet(s, p["a"], p["b"]))
 
     both = lambda s: s.rlike(rules.AVAILABILITY_WORDS) & s.rlike(rules.REPOSITORY_NAMES)
-    some = F.filter(F.transform(F.split(text, rules.SENTENCE_END), stripped), both)
-    return F.array_compact(F.transform(some, snippet))
+    # white space at the ends bears on neither word, and few sentences are left to be stripped
+    some = F.filter(F.split(text, rules.SENTENCE_END), both)
+    return F.array_compact(F.transform(some, lambda s: let(stripped(s), snippet)))
 
 
 def _snippet(s: Column, a: Column, b: Column) -> Column:

@@ -181,7 +181,8 @@ PRIMARY_WORDS = (
     r"deposited|accessible|submitted|measured|collected|observed|detected|analyzed|generated|produced|obtained|recorded|sequenced|amplified|isolated|"
     r"vailability|vailable|novel|hosted|raw(?:\s+data)?|supplementary"
 )
-SENTENCE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|!)\s+"
+# the first look-ahead repeats what follows: only white space is looked at from behind
+SENTENCE_END = r"(?=\s)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|!)\s+"
 # Broken links, as (pattern, replacement), applied in this order
 LINK_REPAIRS = (
     (r"https?://\s*([a-zA-Z0-9\.\-]+)", "https://$1"),
