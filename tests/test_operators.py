@@ -366,3 +366,11 @@ def test_small_batches():
 
     b = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4, 5], "text": ["aaa", None, "bbbb", "c", "dddddddddddd"]})
     assert [x["k"].to_pylist() for x in small([b, b.slice(0, 0)], "text", most=5)] == [[1, 2], [3, 4], [5]]
+
+
+def test_patterns_of_digit_words():
+    """Only patterns whose matches hold a digit and no white space are tried on words with a digit alone."""
+    kept = {n for n, _, p in rules.PATTERNS if not matching.in_digit_words(p)}
+    assert kept == {"doi2", "doi_ref2", "brenda_tissue_ontology_id", "cellosaurus_id", "uniparc_id"}
+    assert not any(map(matching.in_digit_words, (r"a\d?", r"\d$", r"\d \d", r"\d[^a]", r"\d.")))
+    assert matching.starts(r"\bABC\d|DEFG") == ["ABC", "DEFG"] and matching.starts(r"AB\d") == []
